@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardloom.llm import circulant_dedup, code_store, consistent_parsing, content_region, frames, jump_sharding, merge_rounds, owned_secrets, robust_quality, slack_packing
+from cardloom.llm import circulant_dedup, code_store, consistent_parsing, content_region, frames, jump_sharding, merge_rounds, oracles, owned_secrets, robust_quality, slack_packing, warc_derivatives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_parsing.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages, from WARC files."""
+    return warc_derivatives.derivatives(_table(spark, sf_dir, "pages"), frames.new_folder(spark, "warc"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return circulant_dedup.near_duplicates(_table(spark, sf_dir, "documents"), share=75)
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_html": op5_html,
         "op6_fingerprints": op6_fingerprints,
+        "op7_warc_derivatives": op7_warc_derivatives,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_files": op10_token_files,
@@ -86,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": oracles.SECRETS, "op8_near_duplicates": oracles.NEAR_DUPLICATES}
