@@ -8,10 +8,13 @@ contiguous run of the second permutation.
 
 Documents with equal shingle sets are put together first.  Of the others, those that
 share a band of the signature are candidates.  Pairs are never listed for a whole
-bucket: each bucket compares its members with one hub, components are formed
-from the confirmed links, and only buckets that still hold several
-components go on, with other hubs and at last with the pairs between different
-components.  Every link is confirmed on the full shingle sets.
+bucket: a round compares each member of a bucket with one hub, components are formed
+from the confirmed links, and only buckets that still hold several components go on,
+with other hubs.  The first round looks at a few bands alone, which puts most copies of a
+large group together before the other bands are dealt out.  At last, what is not
+in the largest component of such buckets is compared with all their members, block by
+block: signatures sort out pairs far from the threshold, and no pair becomes a row but
+a confirmed one.  Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -26,22 +29,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.frames import cut, parts
+from cardloom.llm.workers import in_batches
 from cardloom.llm.words import Words, flat, slices
 
 #: Words of a shingle; bands and rows of a signature.  At a similarity of 0.75 a pair shares
-#: no band with a probability of (1 - 0.75^4)^36, about one in a million.
-WORDS, BANDS, ROWS = 5, 36, 4
-COORDINATES = BANDS * ROWS
+#: no band with a probability of (1 - 0.75^3)^25, about one in a million.
+WORDS, BANDS, ROWS = 5, 25, 3
+#: Bands of the first round; coordinates in all (those without a band serve to estimate).
+FIRST_BANDS, COORDINATES = 4, 256
 UNIVERSE = 1 << 20
 SEED = 20220607
-#: A hub's members are dealt out to tasks in lots of about so many.
-LOT = 1000
-#: Ids are broadcast to filter texts up to so many (8 bytes each); beyond that they are joined.
-BROADCAST_IDS = 1_000_000
-#: Rounds with hubs before the pairs between components that are left.
-HUB_ROUNDS = 6
-#: Of 144 one-bit coordinates, pairs at 0.75 differ in 18 +- 4; those that differ in more are not candidates.
-MOST_BITS = 48
+#: Members are dealt out to tasks in lots of about so many documents and shingles.
+LOT, LOT_SHINGLES = 1000, 500_000
+#: Rows that say which text goes where, and bucket numbers, are broadcast up to so many (up to 40 bytes
+#: each); beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Rounds with hubs; one that confirms a smaller share of its pairs than this is the last one.
+HUB_ROUNDS, LEAST_YIELD = 4, 0.1
+#: Pairs whose estimate of 256 coordinates is lower are not compared in blocks: 5.5 standard deviations
+#: below 0.75.
+LEAST_ESTIMATE = 0.6
+#: Families of buckets are compared as wholes up to so many estimates, else each bucket by itself.
+MOST_ESTIMATES = 10**10
+#: Links are joined in one task up to so many (16 bytes each); beyond that by rounds over the cluster.
+ONE_TASK_LINKS = 1_000_000
 
 _U = np.uint64
 
@@ -106,15 +117,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 _BAND = _mix(np.arange(1, BANDS + 1, dtype=_U))
 _ROW = _mix(np.arange(1000, 1000 + ROWS, dtype=_U)) | _U(1)
 
-SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>, bits array<long>"
+SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set (low, high), its bands and one-bit coordinates."""
+    """doc_id, n_shingles, a 128-bit name of the set (low, high), and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b, "text", 2 << 20)):
-            sizes, low, high, bands, bits = [], [], [], [], []
+        for batch in (part for b in batches for part in slices(b, "text")):
+            sizes, low, high, bands = [], [], [], []
             with np.errstate(over="ignore"):
                 for s in shingle_sets(batch.column("text")):
                     sizes.append(len(s))
@@ -122,19 +133,76 @@ def signatures(docs: DataFrame) -> DataFrame:
                     high.append(_mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=_U))
                     if len(s):
                         least = signature(s)
-                        bands.append(_mix((least.reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=_U) ^ _BAND).view(np.int64))
-                        # one bit of each coordinate, after mixing
-                        packed = np.packbits((_mix(least.astype(_U)) >> _U(17) & _U(1)).astype(np.uint8))
-                        bits.append(np.frombuffer(packed.tobytes() + bytes(-len(packed) % 8), np.int64))
+                        bands.append(_mix((least[: BANDS * ROWS].reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=_U) ^ _BAND).view(np.int64))
                     else:
                         bands.append(None)
-                        bits.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(low, _U).view(np.int64)), pa.array(np.array(high, _U).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "low", "high", "bands", "bits"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(low, _U).view(np.int64)), pa.array(np.array(high, _U).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "low", "high", "bands"],
             )
 
-    return docs.mapInArrow(run, SIGNED)
+    return in_batches(docs, run, SIGNED)
+
+
+def alike(x: np.ndarray, y: np.ndarray, share: int) -> bool:
+    """Do two ascending sets have at least ``share`` percent of their union in common?"""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < share * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= share * (len(x) + len(y) - both)
+
+
+def compared(members: DataFrame, docs: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between members of one key but different components.
+
+    ``members``: key, rep, component, n (a computed table).  Of each key, those outside its largest
+    component are asked (every pair of components has one of them) against all members, in blocks
+    of a lot of the one and a lot of the other.
+    """
+    n = parts(members.sparkSession)
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    lots = f"cast(greatest(ceil(%s / {LOT}), ceil(%s / {LOT_SHINGLES})) as int)"
+    top = sizes.select("key", "component", F.col("m").alias("tm"), F.col("w").alias("tw"))
+    keys = largest.withColumn("component", F.col("top.component")).join(top, ["key", "component"])
+    keys = cut(_few(keys.select("key", F.col("component").alias("main"), F.expr(lots % ("m", "w")).alias("all_lots"), F.expr(lots % ("(m - tm)", "(w - tw)")).alias("asked_lots"))))
+    rows = members.join(keys, "key")
+    asked = rows.where("component <> main").withColumn("q", F.expr("cast(pmod(xxhash64(rep), asked_lots) as int)")).withColumn("r", F.explode(F.expr("sequence(0, all_lots - 1)"))).withColumn("role", F.lit(0))
+    against = rows.withColumn("r", F.expr("cast(pmod(xxhash64(rep, 1), all_lots) as int)")).withColumn("q", F.explode(F.expr("sequence(0, asked_lots - 1)"))).withColumn("role", F.lit(1))
+    wanted = ["key", "q", "r", "role", "rep", "component"]
+    roles = cut(_few(asked.select(*wanted).unionByName(against.select(*wanted))))
+    if roles.count() <= BROADCAST_ROWS:
+        roles = F.broadcast(roles)
+    rows = docs.join(roles, docs["doc_id"] == roles["rep"]).select(*wanted, "text")
+    rows = rows.repartition(n, "key", "q", "r").sortWithinPartitions("key", "q", "r", "role", "rep")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, asked, table, done = None, [], None, set()
+        for batch in (part for b in batches for part in slices(b, "text")):
+            found_a, found_b = [], []
+            columns = [batch.column(c).to_pylist() for c in wanted]
+            for key, q, r, role, rep, component, own in zip(*columns, shingle_sets(batch.column("text")), strict=True):
+                if (key, q, r) != block:
+                    block, asked, table, done = (key, q, r), [], None, set()
+                if role == 0:
+                    asked.append((rep, component, own, signature(own)))
+                    continue
+                if table is None:
+                    table = np.array([x[3] for x in asked]).reshape(len(asked), COORDINATES)
+                near = np.flatnonzero(np.count_nonzero(table == signature(own), axis=1) >= LEAST_ESTIMATE * COORDINATES) if len(own) and len(asked) else []
+                for i in near:
+                    other, its, theirs, _ = asked[i]
+                    # one link between a document and a component is enough
+                    if its != component and (i, component) not in done and alike(own, theirs, share):
+                        done.add((i, component))
+                        found_a.append(other)
+                        found_b.append(rep)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return cut(_few(in_batches(rows, check, "a long, b long").distinct()))
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
@@ -145,19 +213,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
     """
     n = parts(pairs.sparkSession)
     lots = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {LOT}) as int)").alias("lots"))
-    dealt = pairs.join(lots, "a").withColumn("lot", F.expr("pmod(xxhash64(b), lots)"))
-    hubs = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    members = dealt.join(texts, dealt["b"] == texts["doc_id"]).select("a", F.col("lot").cast("long").alias("lot"), F.lit(1).alias("role"), "b", "text")
-    heads = hubs.join(texts, hubs["a"] == texts["doc_id"]).select("a", F.col("lot").cast("long").alias("lot"), F.lit(0).alias("role"), F.col("a").alias("b"), "text")
-    rows = heads.unionByName(members).repartition(n, "a", "lot").sortWithinPartitions("a", "lot", "role", "b")
+    members = pairs.join(lots, "a").select("a", F.expr("cast(pmod(xxhash64(b), lots) as int)").alias("lot"), F.lit(1).alias("role"), "b")
+    hubs = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("role"), F.col("a").alias("b"))
+    roles = cut(_few(hubs.unionByName(members)))
+    if roles.count() <= BROADCAST_ROWS:
+        roles = F.broadcast(roles)
+    # Each text goes once to each lot that needs it.
+    rows = docs.join(roles, docs["doc_id"] == roles["b"]).select("a", "lot", "role", "b", "text")
+    rows = rows.repartition(n, "a", "lot").sortWithinPartitions("a", "lot", "role", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sets = None, []  # of rows that share the hub's doc_id, all sets
-        for batch in (part for b in batches for part in slices(b, "text", 2 << 20)):
+        for batch in (part for b in batches for part in slices(b, "text")):
             found_a, found_b = [], []
             a_col, b_col, roles = (batch.column(c).to_pylist() for c in ("a", "b", "role"))
             for a, b, role, own in zip(a_col, b_col, roles, shingle_sets(batch.column("text")), strict=True):
@@ -167,30 +234,56 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
                     continue
                 sets_closed = True
                 for hub in sets:
-                    small, large = (own, hub) if len(own) <= len(hub) else (hub, own)
-                    if not len(small) or 100 * len(small) < share * len(large):
-                        continue
-                    at = np.searchsorted(large, small)
-                    at[at == len(large)] = 0
-                    both = int((large[at] == small).sum())
-                    if 100 * both >= share * (len(own) + len(hub) - both):
+                    if alike(own, hub, share):
                         found_a.append(a)
                         found_b.append(b)
                         break
             yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
-    return cut(rows.select("a", "b", "role", "text").mapInArrow(check, "a long, b long").distinct())
+    return cut(_few(in_batches(rows.select("a", "b", "role", "text"), check, "a long, b long").distinct()))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table far smaller than the documents, in fewer partitions."""
+    return df.coalesce(max(8, parts(df.sparkSession) // 16))
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in ``links`` (a, b): the least node that is reachable.
+    """(node, component) of every node in ``links`` (a, b): the least node that is reachable."""
+    edges = cut(_few(links.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v")))
+    return cut(_union_find(edges) if edges.count() <= ONE_TASK_LINKS else _stars(edges.distinct()))
+
+
+def _union_find(edges: DataFrame) -> DataFrame:
+    """All in one task, for links whose number is known to be small."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "component": pa.array([find(x) for x in nodes], pa.int64())})
+
+    return in_batches(edges.coalesce(1), join, "node long, component long")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Any number of links (u > v), by rounds.
 
     Alternates two steps until nothing changes: every node's larger neighbours
     move to its least neighbour (large star), then its smaller ones and itself do (small star).
     (R. Kiveris et al., Connected Components in MapReduce and Beyond, 2014.)
     """
-    edges = cut(links.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())
-    state = None
+    edges, state = cut(edges), None
     while True:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -204,6 +297,28 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Add the component of each rep; without links it is the rep itself."""
+    if labels is None:
+        return rows.withColumn("component", F.col("rep"))
+    return rows.join(labels, rows["rep"] == labels["node"], "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+
+
+def _families(rows: DataFrame) -> DataFrame:
+    """key, rep, component, n: members of open buckets; buckets that share members have one key.
+
+    If families would take too many estimates, each bucket is a key of its own.
+    """
+    least = rows.groupBy("bucket").agg(F.min("rep").alias("b"))
+    chains = components(rows.join(least, "bucket").select(F.col("rep").alias("a"), "b").distinct())
+    members = rows.select("rep", "component", "n").distinct().join(chains, F.col("rep") == chains["node"]).select(chains["component"].alias("key"), "rep", rows["component"], "n")
+    members = cut(members)
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("t"))
+    if (sizes.agg(F.sum(F.col("m").cast("double") * (F.col("m") - F.col("t")))).first()[0] or 0) <= MOST_ESTIMATES:
+        return members
+    return cut(rows.select(F.col("bucket").alias("key"), "rep", "component", "n").distinct())
+
+
 def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -218,61 +333,56 @@ def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text:
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(signatures(docs))
     linked = signed.where("doc_id is not null and n_shingles > 0")
-    sets = cut(linked.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    sets = cut(linked.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
 
-    # Buckets with two members or more.
-    dealt = sets.select("rep", F.explode("bands").alias("bucket")).distinct()
-    shared = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
-    dealt = cut(dealt.join(shared, "bucket"))
-    summary = sets.select("rep", "n", *[F.col("bits")[k].alias(f"s{k}") for k in range(-(-COORDINATES // 64))]).dropDuplicates(["rep"])
-
-    tried = links = labels = None
+    tried = links = labels = rows = None
+    yields = 1.0
     for step in range(HUB_ROUNDS + 1):
-        if labels is None:
-            rows = dealt.withColumn("component", F.col("rep"))
+        # Members of the buckets that hold several components.
+        if step < 2:
+            bands = F.slice("bands", 1, FIRST_BANDS) if step == 0 else F.col("bands")
+            dealt = _labelled(sets.select("rep", "n", bands.alias("bands")), labels).select("rep", "n", "component", F.explode("bands").alias("bucket"))
         else:
-            rows = dealt.join(labels, dealt["rep"] == labels["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-            open_ = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-            rows = cut(rows.join(open_, "bucket"))
+            dealt = _labelled(rows.select("rep", "n", "bucket"), labels)
+        open_ = cut(dealt.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
+        if open_.count() <= BROADCAST_ROWS:
+            open_ = F.broadcast(open_)
+        rows = cut(dealt.join(open_, "bucket"))
         # How many pairs between components are left, counted over buckets.
         sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
         left = sizes.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
         if not left["pairs"]:
-            break
-        last = step == HUB_ROUNDS or left["pairs"] <= 4 * left["rows"]
-        if last:
-            of = rows.join(summary, "rep")
-            x, y = of.alias("x"), of.alias("y")
-            differ = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(-(-COORDINATES // 64)))
-            pairs = x.join(y, F.expr(f"x.bucket = y.bucket and x.rep < y.rep and x.component <> y.component and 100 * x.n >= {share} * y.n and 100 * y.n >= {share} * x.n and {differ} <= {MOST_BITS}"))
-            pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        else:
-            hub = F.min("rep") if step == 0 else F.min_by("rep", F.xxhash64("rep", F.lit(step)))
-            hubs = rows.groupBy("bucket").agg(F.struct(hub.alias("rep")).alias("h")).select("bucket", F.col("h.rep").alias("a"))
             if step:
-                hubs = hubs.join(rows.select("bucket", F.col("rep").alias("a"), F.col("component").alias("of")), ["bucket", "a"])
-            else:
-                hubs = hubs.withColumn("of", F.col("a"))
-            pairs = rows.join(hubs, "bucket").where("component <> of").select("a", F.col("rep").alias("b")).distinct()
+                break
+            continue
+        last = step and (step == HUB_ROUNDS or left["pairs"] <= 4 * left["rows"] or yields < LEAST_YIELD)
+        if last:
+            new = compared(_families(rows), docs, share)
+            links = new if links is None else links.unionByName(new)
+            labels = components(links)
+            break
+        # One hub a bucket, and of its buckets' hubs each member meets one.
+        order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
+        hubs = rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("h")).select("bucket", "h")
+        pairs = rows.join(hubs, "bucket").where("component <> h.component").groupBy("rep").agg(F.min("h.rep").alias("a")).select("a", F.col("rep").alias("b"))
         # a pair may come from several buckets, either way round; a stays the hub
         pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).dropDuplicates(["x", "y"])
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = cut(pairs)
+        pairs = cut(_few(pairs))
         new = confirmed(pairs.select("a", "b"), docs, share)
         tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
         links = new if links is None else links.unionByName(new)
-        labels = cut(components(links))
-        if last:
-            break
+        labels = components(links)
+        yields = new.count() / max(1, pairs.count())
 
-    result = signed.join(sets.select("low", "high", "rep"), ["low", "high"], "left")
+    result = signed.select("doc_id", "n_shingles", "low", "high").join(sets.select("low", "high", "rep"), ["low", "high"], "left")
     # rows that share a doc_id but not a text are one document
     twice = linked.groupBy("doc_id").agg(F.countDistinct("low", "high").alias("k")).where("k > 1").select("doc_id")
     own = result.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     links = own if links is None else links.unionByName(own)
     if labels is None or own.limit(1).count():
-        labels = cut(components(links))
+        labels = components(links)
     result = result.join(labels, result["rep"] == labels["node"], "left")
     linked_row = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     component = F.when(linked_row, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
