@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.llm.frames import parts
+from cardloom.llm.workers import in_batches
 from cardloom.llm.words import slices
 
 MAGIC = b"CLDAC001"
@@ -180,7 +181,7 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, k
             yield close()
 
     # One row a file.
-    files = rows.mapInArrow(write, "part int, number int, name string, n_docs long, n_ids long").collect()
+    files = in_batches(rows, write, "part int, number int, name string, n_docs long, n_ids long", keep=True).collect()
     files.sort(key=lambda r: (r["part"], r["number"]))
     listed, before = [], 0
     for r in files:
@@ -212,4 +213,4 @@ def read_store(spark: SparkSession, folder: str, key: str = "doc_id", with_ids:
                     columns["ids"] = pa.array([x.astype(np.int32) for x in runs], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return files.select("name", "before").mapInArrow(read, schema)
+    return in_batches(files.select("name", "before"), read, schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.frames import parts
+from cardloom.llm.workers import in_batches
 from cardloom.llm.words import flat, slices
 
 #: Level of the phrases, names kept in a fingerprint, hex digits of each.
@@ -192,13 +193,13 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
-        for batch in (part for b in batches for part in slices(b, "_text", 1 << 20)):
+        for batch in (part for b in batches for part in slices(b, "_text")):
             both = pa.concat_batches([held, batch]) if held is not None else batch
             if both.num_rows > 1:
                 yield _compared(both, key)
             held = both.slice(both.num_rows - 1)
 
-    return dealt.select("_bucket", "_guest", "_key", "_text").mapInArrow(compare, schema)
+    return in_batches(dealt.select("_bucket", "_guest", "_key", "_text"), compare, schema)
 
 
 def _compared(rows: pa.RecordBatch, key: str) -> pa.RecordBatch:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm.workers import in_batches
 from cardloom.llm.words import slices
 
 #: At most so many labelled pages teach the weights (those whose id hashes lowest).
@@ -174,7 +175,7 @@ def learn(pages: DataFrame, key: str = "page_id", page: str = "html", most: int
         yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "a": pa.array([within[n] for n in names], pa.int64()), "b": pa.array([outside[n] for n in names], pa.int64())})
 
     # A row for each kind of tag and block: a fixed list of names.
-    counts = sample.select("html").mapInArrow(count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
+    counts = in_batches(sample.select("html"), count, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()
     return weights([(r["feature"], r["a"], r["b"]) for r in counts])
 
 
@@ -193,4 +194,4 @@ def extract(pages: DataFrame, weight: dict[str, float], key: str = "page_id", pa
             texts = [main_text(tokens(x), weight) if x else "" for x in batch.column("_html").to_pylist()]
             yield pa.RecordBatch.from_pydict({key: batch.column(key), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
-    return pages.select(key, "url", F.col(page).alias("_html")).mapInArrow(run, f"{key} {kind}, url string, text string, n_chars long")
+    return in_batches(pages.select(key, "url", F.col(page).alias("_html")), run, f"{key} {kind}, url string, text string, n_chars long")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.llm.workers import held, in_batches
 from cardloom.llm.words import IS_FIRST, coded, flat, slices
 
 #: A worker forgets its words when it has seen so many distinct ones.
@@ -338,14 +339,9 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.concatenate(([0], ends))[offsets]
 
 
-_mergers: dict[str, Merger] = {}
-
-
 def merger(path: str) -> Merger:
     """This worker's merger for a model file; it keeps what it has learnt."""
-    if path not in _mergers:
-        _mergers[path] = Merger(path)
-    return _mergers[path]
+    return held("piece_bpe", path, Merger)
 
 
 def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -364,7 +360,7 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(model)
-        for batch in (part for b in batches for part in slices(b, "_text", 2 << 20)):
+        for batch in (part for b in batches for part in slices(b, "_text")):
             ids, at = m.encode(batch.column("_text"))
             decoded = m.decode(ids, at)
             words = ids.astype("<u4")
@@ -379,4 +375,4 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
                 columns["decoded"] = pa.array([x.decode() for x in decoded], pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs.select(key, F.col(text).alias("_text")), run, schema, keep=True)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardloom.llm.frames import cut
+from cardloom.llm.workers import in_batches
 from cardloom.llm.words import IS_FIRST, Words, coded, flat, numbered, per_doc, slices
 
 #: Base rules: least words; most percent of words in repeated windows.
@@ -109,11 +110,11 @@ def statistics(docs: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + [f"{s} long" for s in STATISTICS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b, "text", 2 << 20)):
+        for batch in (part for b in batches for part in slices(b, "text")):
             found = text_statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(found[s].astype(np.int64)) for s in STATISTICS], [*others, *STATISTICS])
 
-    return docs.select("text", *others).mapInArrow(run, schema)
+    return in_batches(docs.select("text", *others), run, schema)
 
 
 def features() -> dict[str, Column]:

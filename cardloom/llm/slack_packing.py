@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.llm.frames import cut, gapless
+from cardloom.llm.workers import in_batches
 from cardloom.llm.words import slices
 
 
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut_up, schema)
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), cut_up, schema, keep=True)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -170,4 +171,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
             yield pa.RecordBatch.from_pydict(columns | {"sequence_id": pa.array(ids), "offset": pa.array(offsets)})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids + ", sequence_id long, offset long"
-    return ranked.mapInArrow(put, schema)
+    return in_batches(ranked, put, schema, keep=True)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from cardloom.llm.workers import held
 from cardloom.llm.words import IS_SPACE, coded, flat
 
 #: A worker forgets its pieces when it has seen so many distinct ones.
@@ -100,11 +101,6 @@ class Encoder:
         return ids, at
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file; it keeps what it has learnt."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held("byte_bpe", path, Encoder)
