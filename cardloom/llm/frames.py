@@ -42,21 +42,25 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str, ...] = (), width: int = 4096) -> DataFrame:
+def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str, ...] = (), bucket_rows: int = 4096) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... in each group of ``by`` in ascending ``order``.
 
     ``order`` is a long column; nulls come first, and rows with equal values
     follow the columns ``ties``.  No task ever gets a whole group: rows are ranked
-    within buckets of ``width`` consecutive values of ``order``, and a running
-    sum over the bucket sizes (a small table) gives each bucket its first
-    number.  So a group with a third of all rows is spread like the others.
+    within buckets of consecutive values of ``order``, wide enough for about
+    ``bucket_rows`` rows, and a running sum over the bucket sizes (a small table)
+    gives each bucket its first number.  So a group with a third of all rows is spread like the others.
     """
-    keyed = df.withColumn("_bucket", F.expr(f"coalesce({order} div {width}L - if({order} < 0, 1, 0), -9223372036854775808L)"))
-    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    firsts = firsts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_kb"), "_first")
-    inside = Window.partitionBy(*by, "_bucket").orderBy(F.col(order).asc_nulls_first(), *ties)
-    ranked = keyed.withColumn("_in", F.row_number().over(inside) - 1)
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)] + [F.col("_bucket") == F.col("_kb")]
-    return ranked.join(firsts, on, "left").withColumn(out, (F.col("_first") + F.col("_in")).cast("long")).select(*df.columns, out)
+    span = df.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).first()
+    width = bucket_rows
+    if span["a"] is not None:
+        width = min(max(width, (span["b"] - span["a"]) * bucket_rows // span["n"]), 2**62)
+    keyed = df.withColumn("_gapless_bucket", F.expr(f"coalesce({order} div {width}L - if({order} < 0, 1, 0), -9223372036854775808L)"))
+    sizes = keyed.groupBy(*by, "_gapless_bucket").agg(F.count(F.lit(1)).alias("_gapless_n"))
+    before = Window.partitionBy(*by).orderBy("_gapless_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.withColumn("_gapless_first", F.coalesce(F.sum("_gapless_n").over(before), F.lit(0))).drop("_gapless_n")
+    firsts = firsts.select(*[F.col(c).alias(f"_gapless_k{i}") for i, c in enumerate(by)], F.col("_gapless_bucket").alias("_gapless_kb"), "_gapless_first")
+    inside = Window.partitionBy(*by, "_gapless_bucket").orderBy(F.col(order).asc_nulls_first(), *ties)
+    ranked = keyed.withColumn("_gapless_in", F.row_number().over(inside) - 1)
+    on = [F.col(c).eqNullSafe(F.col(f"_gapless_k{i}")) for i, c in enumerate(by)] + [F.col("_gapless_bucket") == F.col("_gapless_kb")]
+    return ranked.join(firsts, on, "left").withColumn(out, (F.col("_gapless_first") + F.col("_gapless_in")).cast("long")).select(*df.columns, out)
