@@ -2,9 +2,9 @@
 
 The library is asked once per distinct piece of text, not once per occurrence.
 A text is cut before each ASCII white-space byte that follows a byte which
-certainly ends a character other than white space.  No pretoken of the
-byte-level pattern reaches across such a point, and the pattern looks only
-ahead, so the ids of a text are the ids of its pieces in a row.
+certainly ends a character other than white space, and between an ASCII letter and
+ASCII punctuation.  No pretoken of the byte-level pattern reaches across such a point,
+and the pattern looks only ahead, so the ids of a text are the ids of its pieces in a row.
 """
 
 from __future__ import annotations
@@ -24,6 +24,9 @@ RUN = 256
 # Bytes after which a cut is safe: printable ASCII.
 _SAFE = np.zeros(256, bool)
 _SAFE[33:127] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
 _SPACES, _PRINTABLE = frozenset(np.flatnonzero(IS_SPACE).tolist()), frozenset(range(33, 127))
 
 
@@ -87,7 +90,7 @@ class Encoder:
         safe = _SAFE[before]
         # ... and the end of a two-byte character from U+00C0 on, none of which is white space
         safe[1:] |= ((before[1:] & 0xC0) == 0x80) & (before[:-1] >= 0xC3) & (before[:-1] < 0xE0)
-        cut[1:] = IS_SPACE[data[1:]] & safe
+        cut[1:] = (IS_SPACE[data[1:]] & safe) | (_MARK[data[1:]] & _LETTER[before])
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         code, distinct = coded(data, starts)
