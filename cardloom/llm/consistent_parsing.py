@@ -59,7 +59,12 @@ _BYTE_NAMES = _mix(np.arange(256, dtype=_U) + _U(0x9E3779B97F4A7C15))
 
 
 def _tossed(symbols: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Labels below 6; neighbours differ (but at the start of a text)."""
+    """Labels below 6; neighbours differ (but at the start of a text).
+
+    The number of tosses is fixed, so a label depends on a few symbols to its left and on
+    nothing else: bytes have 256 symbols, then 16, 8 and 6 labels, names 2^64, then 128, 14, 8 and 6.
+    """
+    again = 2 if symbols.dtype == np.uint8 else 3
     if symbols.dtype == np.uint8:
         label = np.empty(len(symbols), np.uint8)
         label[1:] = _BYTES[(symbols[:-1].astype(np.uint16) << 8) | symbols[1:]]
@@ -71,14 +76,12 @@ def _tossed(symbols: np.ndarray, heads: np.ndarray) -> np.ndarray:
         label = np.empty(len(symbols), np.uint8)
         label[1:] = (2 * bit + (symbols[1:] >> bit & _U(1))).astype(np.uint8)
         label[heads] = (symbols[heads] & _U(1)).astype(np.uint8)
-    while True:
-        top = int(label.max(initial=0))
+    for _ in range(again):
         after = np.empty_like(label)
         after[1:] = _SMALL[(label[:-1].astype(np.uint16) << 7) | label[1:]]
         after[heads] = label[heads] & 1
-        if int(after.max(initial=0)) >= top:
-            return label
         label = after
+    return label
 
 
 def parse_level(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
