@@ -38,6 +38,9 @@ FLOORS = {"f_length": 0.08, "f_symbols": 0.035, "f_lines": 0.15, "f_repeats": 0.
 FEATURES = tuple(FLOORS)
 #: Robust distances are compared with this quantile of chi-square.
 LEVEL = 1 - 1e-9
+#: Rows for groups are broadcast up to so many groups (under 1 kB each); beyond that groups are
+#: joined by a shuffle, each in so many lots, so that a large group has many tasks.
+BROADCAST_GROUPS, LOTS = 10_000, 64
 #: Width of the bins from which quantiles are read (statistics, and logarithms of distances).
 BIN = 1 / 512
 
@@ -148,6 +151,15 @@ def binned_quantile(df: DataFrame, by: list[str], value: Column, level: float, o
     return bins.where(F.col("_run") >= F.lit(level) * F.col("_all")).groupBy(*by).agg(((F.min("_bin") + 1) * F.lit(BIN)).alias(out))
 
 
+def per_group(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """Join what is known of each group to its rows without bringing a group's rows together."""
+    if few:
+        return rows.join(F.broadcast(groups), on, how)
+    dealt = rows.withColumn("_lot", F.pmod(F.xxhash64(*rows.columns), F.lit(LOTS)))
+    copies = groups.withColumn("_lot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOTS - 1).cast("long"))))
+    return dealt.join(copies, [*on, "_lot"], how).drop("_lot")
+
+
 _PARAMETERS = "grp string, mean array<double>, inverse array<double>, logdet double"
 
 
@@ -185,7 +197,7 @@ def _inverted(moments: DataFrame) -> DataFrame:
     return moments.mapInArrow(run, _PARAMETERS)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
+def estimates(rows: DataFrame, few: bool = False) -> DataFrame:
     """grp, mean, inverse, logdet, scale: the MCD estimate of each group.
 
     ``rows``: grp and the features.  ``scale`` makes distances comparable with chi-square.
@@ -194,7 +206,7 @@ def estimates(rows: DataFrame) -> DataFrame:
     # start: medians, and spreads from the median distance to them
     long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("e")).select("grp", "e.i", "e.x")
     middle = cut(binned_quantile(long, ["grp", "i"], F.col("x"), 0.5, "m"))
-    spread = binned_quantile(long.join(middle, ["grp", "i"]), ["grp", "i"], F.abs(F.col("x") - F.col("m")), 0.5, "d")
+    spread = binned_quantile(per_group(long, middle, ["grp", "i"], few), ["grp", "i"], F.abs(F.col("x") - F.col("m")), 0.5, "d")
     floor2 = F.array(*[F.lit(FLOORS[f] ** 2) for f in FEATURES])
     start = middle.join(spread, ["grp", "i"]).withColumn("v", F.pow(F.col("d") * 1.4826, F.lit(2)) + floor2[F.col("i")])
     start = start.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "m", "v"))).alias("a"))
@@ -204,12 +216,12 @@ def estimates(rows: DataFrame) -> DataFrame:
     sums = [F.sum(f) for f in FEATURES]
     squares = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i, p)]
     for _ in range(STEPS):
-        far = rows.join(params, "grp").withColumn("_d", _distance()).select("grp", *FEATURES, log.alias("_log"))
+        far = per_group(rows, params, ["grp"], few).withColumn("_d", _distance()).select("grp", *FEATURES, log.alias("_log"))
         edge = binned_quantile(far, ["grp"], F.col("_log"), SHARE, "_edge")
-        near = far.join(edge, "grp").where("_log <= _edge")
+        near = per_group(far, edge, ["grp"], few).where("_log <= _edge")
         moments = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("first"), F.array(*squares).alias("second"))
         params = cut(_inverted(moments))
-    far = rows.join(params, "grp").withColumn("_d", _distance()).select("grp", log.alias("_log"))
+    far = per_group(rows, params, ["grp"], few).withColumn("_d", _distance()).select("grp", log.alias("_log"))
     edge = binned_quantile(far, ["grp"], F.col("_log"), SHARE, "_edge")
     # Floors can exceed the true scatter; distances are scaled down to chi-square, never up.
     scale = F.greatest(F.exp("_edge") / F.lit(chi_square(p, SHARE)), F.lit(1.0))
@@ -241,13 +253,15 @@ def judge(docs: DataFrame, by: list[str], key: str = "doc_id", text: str = "text
     wide = sizes.groupBy("_wide").agg(F.sum("m").alias("wm"))
     level = F.when(F.col("m") >= LEAST_GROUP, F.col("_narrow")).when(F.col("wm") >= LEAST_GROUP, F.concat(F.lit("*"), F.col("_wide"))).otherwise(F.lit("*"))
     groups = cut(sizes.join(wide, "_wide").select("_narrow", level.alias("grp")))
-    own = good.join(groups.where("grp not like '*%'"), "_narrow").select("grp", *FEATURES)
+    few = groups.count() <= BROADCAST_GROUPS
+    own = per_group(good, groups.where("grp not like '*%'"), ["_narrow"], few).select("grp", *FEATURES)
     # a wider group that stands in, or all documents, is estimated over all it holds
     stand_in = groups.where("grp like '*_%'").select("grp").distinct().withColumn("_wide", F.expr("substring(grp, 2)"))
-    pooled = good.join(stand_in, "_wide").select("grp", *FEATURES)
-    everything = good.join(groups.where("grp = '*'").select("grp").distinct()).select("grp", *FEATURES)
-    params = estimates(own.unionByName(pooled).unionByName(everything))
-    told = rows.join(groups, "_narrow", "left").join(params, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    pooled = per_group(good, stand_in, ["_wide"], few).select("grp", *FEATURES)
+    everything = good.crossJoin(F.broadcast(groups.where("grp = '*'").select("grp").distinct())).select("grp", *FEATURES)  # one row or none
+    params = estimates(own.unionByName(pooled).unionByName(everything), few)
+    told = per_group(rows, groups, ["_narrow"], few, "left")
+    told = per_group(told, params, ["grp"], few, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     limit = chi_square(len(FEATURES), LEVEL)
     return told.select(
         F.col("_key").alias(key),
