@@ -161,7 +161,9 @@ def main_text(found: list[Token], weight: dict[str, float]) -> str:
 def learn(pages: DataFrame, key: str = "page_id", page: str = "html", most: int = TRAIN_PAGES) -> dict[str, float]:
     """Weights from at most ``most`` labelled pages; without any, every word counts alike."""
     labelled = pages.where(F.col(page).rlike(r"(?i)<(article|main)\b|itemprop\s*=\s*[\"']?articleBody")).select(F.xxhash64(key, page).alias("h"), F.col(page).alias("html"))
-    sample = labelled.orderBy("h").limit(most)
+    # Only hashes are sorted; the pages themselves stay where they are.
+    last = labelled.select("h").orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    sample = labelled.where(F.col("h") <= F.lit(last).cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         within, outside = Counter(), Counter()
