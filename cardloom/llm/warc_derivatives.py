@@ -35,6 +35,8 @@ VERSION = b"WARC/1.1"
 FILE_BYTES = 64 << 20
 #: Compression level of records.
 LEVEL = 1
+#: Bytes read at once; what follows a compressed member is copied, so not many.
+READ_BYTES = 64 << 10
 
 Headers = list[tuple[str, str]]
 
@@ -54,25 +56,30 @@ def get(headers: Headers, name: str) -> str | None:
     return next((v for n, v in headers if n.lower() == name.lower()), None)
 
 
+def by_name(headers: Headers) -> dict[str, str]:
+    """The first value of each header, by its name in lower case."""
+    return {n.lower(): v for n, v in reversed(headers)}
+
+
 def pack(headers: Headers, block: bytes) -> bytes:
     """One compressed record; Content-Length is added."""
-    head = b"".join(f"{n}: {_line(v)}\r\n".encode() for n, v in [*headers, ("Content-Length", str(len(block)))])
+    head = "".join([f"{n}: {_line(v)}\r\n" for n, v in headers]).encode() + b"Content-Length: %d\r\n" % len(block)
     c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return c.compress(VERSION + b"\r\n" + head + b"\r\n" + block + b"\r\n\r\n") + c.flush()
 
 
 def _line(value: str) -> str:
     """A header value on one line."""
-    return re.sub(r"[\r\n]+\s*", " ", value)
+    return re.sub(r"[\r\n]+\s*", " ", value) if "\n" in value or "\r" in value else value
 
 
 def _members(stream: io.RawIOBase) -> Iterator[bytes]:
     """Decompressed chunks of a stream of compressed members, or the stream as it is."""
-    data = stream.read(1 << 20)
+    data = stream.read(READ_BYTES)
     if data[:2] != b"\x1f\x8b":
         while data:
             yield data
-            data = stream.read(1 << 20)
+            data = stream.read(READ_BYTES)
         return
     d = zlib.decompressobj(31)
     while data:
@@ -81,7 +88,7 @@ def _members(stream: io.RawIOBase) -> Iterator[bytes]:
         if d.eof:
             d = zlib.decompressobj(31)
         if not data:
-            data = stream.read(1 << 20)
+            data = stream.read(READ_BYTES)
 
 
 def records(stream: io.RawIOBase) -> Iterator[tuple[Headers, bytes]]:
@@ -114,7 +121,7 @@ def records(stream: io.RawIOBase) -> Iterator[tuple[Headers, bytes]]:
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
         headers = _headers(lines)
-        length = int(get(headers, "Content-Length") or 0)
+        length = int(by_name(headers).get("content-length") or 0)
         buffer = buffer[end + 4 :]
         if not need(length):
             raise ValueError("a record's block is cut off")
@@ -164,9 +171,10 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
 
     A block that is no HTTP message is taken as the payload itself.  Undecodable bytes become U+FFFD.
     """
-    if get(headers, "WARC-Type") != "response":
+    given = by_name(headers)
+    if given.get("warc-type") != "response":
         return []
-    source, uri, date = get(headers, "WARC-Record-ID") or "", get(headers, "WARC-Target-URI"), get(headers, "WARC-Date")
+    source, uri, date = given.get("warc-record-id") or "", given.get("warc-target-uri"), given.get("warc-date")
     status, http, payload = "", [], block
     if block.startswith(b"HTTP/"):
         head, _, payload = block.partition(b"\r\n\r\n")
@@ -180,14 +188,15 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     title, language = _TITLE.search(page), _LANGUAGE.search(page)
     fields: Headers = [("source-record-id", source)]
-    fields += [(f"source-{n.lower()}", v) for n in ("WARC-Block-Digest", "WARC-Payload-Digest", "Content-Type", "Content-Length") if (v := get(headers, n))]
-    fields += [("payload-digest", digest(payload)), ("payload-length", str(len(payload)))]
+    fields += [(f"source-{n}", v) for n in ("warc-block-digest", "warc-payload-digest", "content-type", "content-length") if (v := given.get(n))]
+    told_digest = given.get("warc-payload-digest") or digest(payload)
+    fields += [("payload-digest", told_digest), ("payload-length", str(len(payload)))]
     fields += [("http-status", status)] if status else []
     fields += [(f"http-header-{n.lower()}", v) for n, v in http]
     fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
     fields += [("language", language[1])] if language else []
     fields += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(page)]
-    meta_block = "".join(f"{n}: {_line(v)}\r\n" for n, v in fields).encode("utf-8", "replace")
+    meta_block = "".join([f"{n}: {_line(v)}\r\n" for n, v in fields]).encode("utf-8", "replace")
     text_block = plain_text(page).encode("utf-8", "replace")
     out = []
     for kind, own, other, content, data in (("metadata", meta_id, text_id, "application/warc-fields", meta_block), ("conversion", text_id, meta_id, "text/plain; charset=utf-8", text_block)):
@@ -196,7 +205,7 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
         made += [("WARC-Date", date)] if date else []
         made += [("WARC-Refers-To-Target-URI", uri)] if uri else []
         made += [("WARC-Refers-To-Date", date)] if date else []
-        made += [("Content-Type", content), ("WARC-Block-Digest", digest(data)), ("WARC-Source-Payload-Digest", get(headers, "WARC-Payload-Digest") or digest(payload))]
+        made += [("Content-Type", content), ("WARC-Block-Digest", digest(data)), ("WARC-Source-Payload-Digest", told_digest)]
         out.append((made, data))
     return out
 
@@ -292,8 +301,9 @@ def read_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each derivative record, with its block as text."""
 
     def turn(headers: Headers, block: bytes):
-        names = ("X-Source-Key", "WARC-Target-URI", "WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Date", "Content-Type", "WARC-Block-Digest", "WARC-Source-Payload-Digest")
-        yield (*(get(headers, n) for n in names), len(block), block.decode("utf-8", "replace"))
+        given = by_name(headers)
+        names = ("x-source-key", "warc-target-uri", "warc-type", "warc-record-id", "warc-refers-to", "warc-concurrent-to", "warc-date", "content-type", "warc-block-digest", "warc-source-payload-digest")
+        yield (*(given.get(n) for n in names), len(block), block.decode("utf-8", "replace"))
 
     return _read(spark, folder, DERIVED, turn)
 
