@@ -2,11 +2,13 @@
 
 Each document has a vector of transformed statistics.  For every group (language and source)
 the estimator looks for the half of the documents whose covariance has the least
-determinant, by concentration steps: from a start at coordinate-wise medians, keep the
-share nearest by Mahalanobis distance, take their mean and covariance, repeat.
-Documents far from that centre are rejected.
+determinant, by concentration steps: keep the half nearest by Mahalanobis distance, take
+their mean and covariance, repeat until the determinant falls no more.  This is done from
+three starts, all at coordinate-wise medians (scatter by medians alone, with correlations of
+tanh of the scores, with correlations of spatial signs), and the one that ends with the least
+determinant is taken.  Documents far from that centre are rejected.
 (P. Rousseeuw, K. Van Driessen, A Fast Algorithm for the MCD Estimator, 1999; the
-deterministic start follows M. Hubert et al., 2012.)
+deterministic starts follow M. Hubert et al., 2012.)
 
 All documents take part.  Medians and cutoffs are read from counts over fine bins and moments are
 sums, so every step is one aggregation with small partial results and no group is
@@ -29,8 +31,11 @@ from cardloom.llm.words import IS_FIRST, Words, coded, flat, numbered, per_doc,
 
 #: Base rules: least words; most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of a group that the estimator keeps; concentration steps.
-SHARE, STEPS = 0.75, 3
+#: Share of a group that the estimator keeps (with half the number of statistics and one on top);
+#: concentration steps at most, where a start takes up to ten or so.
+SHARE, STEPS = 0.5, 50
+#: A start has converged when the logarithm of the determinant falls by less.
+FALL = 1e-6
 #: Groups with fewer documents are judged with all documents of their language.
 LEAST_GROUP = 50
 #: Added to each variance, as the scatter that clean texts may have anyway (by statistic, below).
@@ -142,13 +147,13 @@ def chi_square(p: int, level: float) -> float:
     return p * (1 - c + z * math.sqrt(c)) ** 3
 
 
-def binned_quantile(df: DataFrame, by: list[str], value: Column, level: float, out: str) -> DataFrame:
-    """Per group the upper edge of the bin that holds the quantile: counts of bins, no rows."""
+def binned_quantile(df: DataFrame, by: list[str], value: Column, level: float, out: str, more: float = 0.0) -> DataFrame:
+    """Per group the upper edge of the bin that holds the quantile, and so many rows ``more``: counts of bins, no rows."""
     bins = df.select(*by, F.floor(value / BIN).alias("_bin")).groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_m"))
     w = Window.partitionBy(*by)
     run = F.sum("_m").over(w.orderBy("_bin"))
     bins = bins.withColumn("_run", run).withColumn("_all", F.sum("_m").over(w))
-    return bins.where(F.col("_run") >= F.lit(level) * F.col("_all")).groupBy(*by).agg(((F.min("_bin") + 1) * F.lit(BIN)).alias(out))
+    return bins.where(F.col("_run") >= F.least(F.lit(level) * F.col("_all") + F.lit(more), F.col("_all"))).groupBy(*by).agg(((F.min("_bin") + 1) * F.lit(BIN)).alias(out))
 
 
 def per_group(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
@@ -160,7 +165,8 @@ def per_group(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how:
     return dealt.join(copies, [*on, "_lot"], how).drop("_lot")
 
 
-_PARAMETERS = "grp string, mean array<double>, inverse array<double>, logdet double"
+_PARAMETERS = "grp string, start int, mean array<double>, inverse array<double>, logdet double"
+_SCHEMA = pa.schema([("grp", pa.string()), ("start", pa.int32()), ("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64())), ("logdet", pa.float64())])
 
 
 def _distance() -> Column:
@@ -174,9 +180,38 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+def _square(upper: list[float]) -> np.ndarray:
+    """The symmetric matrix with these entries on and above its diagonal."""
+    s = np.zeros((len(FEATURES), len(FEATURES)))
+    s[np.triu_indices(len(FEATURES))] = upper
+    return s + s.T - np.diag(np.diag(s))
+
+
+def _started(scores: DataFrame) -> DataFrame:
+    """Mean and inverse covariance of each start, from medians, spreads and sums of products of scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {"grp": [], "start": [], "mean": [], "inverse": [], "logdet": []}
+            for grp, mean, v, *sums in zip(*(batch.column(c).to_pylist() for c in ("grp", "mean", "v", "tanh", "sign")), strict=True):
+                spread = np.sqrt(v)
+                for k, upper in enumerate((None, *sums)):
+                    r = np.eye(len(v))
+                    if upper is not None:
+                        s = _square(upper)
+                        d = np.sqrt(np.maximum(np.diag(s), 1e-12))
+                        r = 0.99 * s / np.outer(d, d)  # never singular
+                        np.fill_diagonal(r, 1)
+                    inverse = np.linalg.inv(r * np.outer(spread, spread))
+                    for name, x in zip(out, (grp, k, mean, np.round(inverse, 6).ravel().tolist(), math.inf), strict=True):
+                        out[name].append(x)
+            yield pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
+
+    return scores.mapInArrow(run, _PARAMETERS)
+
+
 def _inverted(moments: DataFrame) -> DataFrame:
-    """Mean, inverse covariance and log determinant from sums; one small row for each group."""
-    p = len(FEATURES)
+    """Mean, inverse covariance and log determinant from sums; one small row for each group and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floors = np.diag([FLOORS[f] ** 2 for f in FEATURES])
@@ -184,43 +219,64 @@ def _inverted(moments: DataFrame) -> DataFrame:
             mean, inverse, logdet = [], [], []
             for n, first, second in zip(*(batch.column(c).to_pylist() for c in ("n", "first", "second")), strict=True):
                 m = np.array(first) / n
-                s = np.zeros((p, p))
-                s[np.triu_indices(p)] = second
-                s = s + s.T - np.diag(np.diag(s))
-                cov = s / n - np.outer(m, m) + floors
+                cov = _square(second) / n - np.outer(m, m) + floors
                 # rounding takes away what the order of sums leaves in the last digits
                 mean.append(np.round(m, 9).tolist())
                 inverse.append(np.round(np.linalg.inv(cov), 6).ravel().tolist())
-                logdet.append(float(np.linalg.slogdet(cov)[1]))
-            yield pa.RecordBatch.from_pydict({"grp": batch.column("grp"), "mean": pa.array(mean, pa.list_(pa.float64())), "inverse": pa.array(inverse, pa.list_(pa.float64())), "logdet": pa.array(logdet, pa.float64())})
+                logdet.append(round(float(np.linalg.slogdet(cov)[1]), 9))
+            yield pa.RecordBatch.from_pydict({"grp": batch.column("grp"), "start": batch.column("start"), "mean": mean, "inverse": inverse, "logdet": logdet}, schema=_SCHEMA)
 
     return moments.mapInArrow(run, _PARAMETERS)
 
 
-def estimates(rows: DataFrame, few: bool = False) -> DataFrame:
-    """grp, mean, inverse, logdet, scale: the MCD estimate of each group.
+def _products(x: list[Column]) -> Column:
+    """Sums of products of each two, as an array."""
+    return F.array(*[F.sum(x[i] * x[j]) for i in range(len(x)) for j in range(i, len(x))])
 
-    ``rows``: grp and the features.  ``scale`` makes distances comparable with chi-square.
-    """
+
+def starts(rows: DataFrame, few: bool = False) -> DataFrame:
+    """grp, start, mean, inverse, logdet (infinite): where the concentration steps of each group begin."""
     p = len(FEATURES)
-    # start: medians, and spreads from the median distance to them
+    # medians, and spreads from the median distance to them
     long = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("e")).select("grp", "e.i", "e.x")
     middle = cut(binned_quantile(long, ["grp", "i"], F.col("x"), 0.5, "m"))
     spread = binned_quantile(per_group(long, middle, ["grp", "i"], few), ["grp", "i"], F.abs(F.col("x") - F.col("m")), 0.5, "d")
     floor2 = F.array(*[F.lit(FLOORS[f] ** 2) for f in FEATURES])
     start = middle.join(spread, ["grp", "i"]).withColumn("v", F.pow(F.col("d") * 1.4826, F.lit(2)) + floor2[F.col("i")])
     start = start.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("i", "m", "v"))).alias("a"))
-    eye = "flatten(transform(a, x -> transform(a, y -> if(x.i = y.i, 1 / x.v, cast(0 as double)))))"
-    params = cut(start.select("grp", F.expr("transform(a, x -> x.m)").alias("mean"), F.expr(eye).alias("inverse"), F.lit(0.0).alias("logdet")))
+    start = cut(start.select("grp", F.expr("transform(a, x -> x.m)").alias("mean"), F.expr("transform(a, x -> x.v)").alias("v")))
+    scores = per_group(rows, start, ["grp"], few).select("grp", *[((F.col(f) - F.col("mean")[i]) / F.sqrt(F.col("v")[i])).alias(f) for i, f in enumerate(FEATURES)])
+    size = F.greatest(F.sqrt(sum((F.col(f) * F.col(f) for f in FEATURES[1:]), F.col(FEATURES[0]) * F.col(FEATURES[0]))), F.lit(1e-9))
+    scores = scores.withColumns({f"s{i}": F.col(f) / size for i, f in enumerate(FEATURES)} | {f"t{i}": F.tanh(f) for i, f in enumerate(FEATURES)})
+    sums = scores.groupBy("grp").agg(_products([F.col(f"t{i}") for i in range(p)]).alias("tanh"), _products([F.col(f"s{i}") for i in range(p)]).alias("sign"))
+    return cut(_started(start.join(sums, "grp").select("grp", "mean", "v", "tanh", "sign")))
+
+
+def estimates(rows: DataFrame, few: bool = False) -> DataFrame:
+    """grp, mean, inverse, logdet, scale: the MCD estimate of each group.
+
+    ``rows``: grp and the features.  ``scale`` makes distances comparable with chi-square.
+    """
+    p = len(FEATURES)
     log = F.log(F.col("_d") + 1e-6)
-    sums = [F.sum(f) for f in FEATURES]
-    squares = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i, p)]
+    on = ["grp", "start"]
+    # The starts of a group go their way together, each until its determinant falls no more.
+    chains = starts(rows, few).withColumn("moving", F.lit(True))
     for _ in range(STEPS):
-        far = per_group(rows, params, ["grp"], few).withColumn("_d", _distance()).select("grp", *FEATURES, log.alias("_log"))
-        edge = binned_quantile(far, ["grp"], F.col("_log"), SHARE, "_edge")
-        near = per_group(far, edge, ["grp"], few).where("_log <= _edge")
-        moments = near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("first"), F.array(*squares).alias("second"))
-        params = cut(_inverted(moments))
+        moving = chains.where("moving").drop("moving")
+        far = per_group(rows, moving, ["grp"], few).withColumn("_d", _distance()).select(*on, *FEATURES, log.alias("_log"))
+        edge = binned_quantile(far, on, F.col("_log"), SHARE, "_edge", (p + 1) / 2)
+        near = per_group(far, edge, on, few).where("_log <= _edge")
+        moments = near.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f) for f in FEATURES]).alias("first"), _products([F.col(f) for f in FEATURES]).alias("second"))
+        moved = _inverted(moments).select(*on, F.struct("mean", "inverse", "logdet").alias("_new"))
+        both = chains.join(moved, on, "left").withColumn("moving", F.coalesce(F.col("_new.logdet") < F.col("logdet") - FALL, F.lit(False)))
+        both = both.select(*on, *[F.when(F.col("moving"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in ("mean", "inverse", "logdet")], "moving")
+        # starts of a group that have met stay together: one goes on
+        chains = cut(both.withColumn("_first", F.min("start").over(Window.partitionBy("grp", "logdet", "moving"))).where("start = _first").drop("_first"))
+        if not chains.where("moving").head(1):
+            break
+    best = chains.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("b"))
+    params = cut(best.select("grp", "b.mean", "b.inverse", "b.logdet"))
     far = per_group(rows, params, ["grp"], few).withColumn("_d", _distance()).select("grp", log.alias("_log"))
     edge = binned_quantile(far, ["grp"], F.col("_log"), SHARE, "_edge")
     # Floors can exceed the true scatter; distances are scaled down to chi-square, never up.

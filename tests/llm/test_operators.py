@@ -220,6 +220,42 @@ def test_robust_distances_equal_numpy(spark):
     assert [i for i in range(300) if not got[i]["kept"]] == list(range(0, 300, 25))
 
 
+def junked(n, n_junk, spoil):
+    """Documents of one group, of which the first ``n_junk`` are spoilt."""
+    rng = random.Random(3)
+    words = [rng.choice("abcdefg") * rng.randint(1, 9) + str(i) for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(60, 200))) for _ in range(n)]
+    return [(i, spoil(t) if i < n_junk else t, "en", "s", 0) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("percent", [24, 28, 40])
+def test_junk_short_of_half_a_group_is_rejected(spark, percent):
+    docs = spark.createDataFrame(junked(200, 2 * percent, lambda t: t.replace(" ", "## ").upper()), SCHEMA)
+    assert {r["doc_id"] for r in rows(robust_quality.judge(docs, ["lang", "source"])) if not r["kept"]} == set(range(2 * percent))
+
+
+def test_estimate_has_the_least_determinant_of_its_starts(spark):
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(0, 0.3, (240, 6)) @ rng.normal(0, 1, (6, 6)))
+    x[:100] += 2
+    cloud = spark.createDataFrame([("g", *map(float, r)) for r in x], ["grp", *robust_quality.FEATURES])
+    got = rows(robust_quality.estimates(cloud, True))[0]
+    floors = np.diag([robust_quality.FLOORS[f] ** 2 for f in robust_quality.FEATURES])
+    ends = []
+    for r in rows(robust_quality.starts(cloud, True)):
+        mean, inverse, last = np.array(r["mean"]), np.array(r["inverse"]).reshape(6, 6), np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+            near = x[np.argsort(d)[:124]]
+            cov = np.cov(near.T, bias=True) + floors
+            now = np.linalg.slogdet(cov)[1]
+            if now >= last - 1e-6:
+                break
+            mean, inverse, last = near.mean(axis=0), np.linalg.inv(cov), now
+        ends.append(last)
+    assert len(ends) == 3 and got["logdet"] == pytest.approx(min(ends), abs=0.05)
+
+
 def test_labelled_junk_goes_and_clean_documents_stay(spark):
     sf = "/root/testdata/sf0.01"
     told = entry_queries.op4_quality(spark, sf).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
