@@ -66,6 +66,15 @@ def two_part_key_match(spark, sf_dir):
     return joined.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"))
 
 
+@query(_NAMED + """SELECT a.item_id AS a, b.item_id AS b FROM named a JOIN named b ON a.series = b.series AND a."character" = b."character" WHERE a.item_id < b.item_id""")
+def two_part_key_pairs(spark, sf_dir):
+    """Pairs of files of one character, from all items."""
+    a, b = catalog(spark, sf_dir).alias("a"), catalog(spark, sf_dir).alias("b")
+    on = [names.two_part(F.col("a.stem")) == names.two_part(F.col("b.stem"))]
+    joined = a.join(b, on).where("a.item_id < b.item_id").where(names.same_character(F.col("a.stem"), F.col("b.stem")))
+    return joined.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"))
+
+
 _PREFIXES = ("Brand#1_hot", "Brand#2_red-ring", "Brand#2", "Brand#1_old-rod", "Brand#25_")
 
 
