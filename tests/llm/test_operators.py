@@ -234,6 +234,20 @@ def test_junk_short_of_half_a_group_is_rejected(spark, percent):
     assert {r["doc_id"] for r in rows(robust_quality.judge(docs, ["lang", "source"])) if not r["kept"]} == set(range(2 * percent))
 
 
+def test_each_statistic_rejects_at_several_strengths(spark):
+    def lines(per):
+        return lambda t: "\n".join("same\n" * per + w for w in dict.fromkeys(t.split()))
+
+    def symbols(percent):
+        return lambda t: t + "#" * round(len(t.replace(" ", "")) * percent / 100)
+
+    kinds = [symbols(1.5), symbols(3), symbols(6), lines(1), lines(2)]
+    data = [(i, kinds[i % 5](t) if i < 50 else t, *rest) for i, t, *rest in junked(200, 0, None)]
+    told = rows(robust_quality.judge(spark.createDataFrame(data, SCHEMA), ["lang", "source"]))
+    assert not any(r["base_failed"] for r in told)
+    assert {r["doc_id"] for r in told if not r["kept"]} == set(range(50))
+
+
 def test_estimate_has_the_least_determinant_of_its_starts(spark):
     rng = np.random.default_rng(5)
     x = np.abs(rng.normal(0, 0.3, (240, 6)) @ rng.normal(0, 1, (6, 6)))
