@@ -188,9 +188,10 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
     title, language = _TITLE.search(page), _LANGUAGE.search(page)
     fields: Headers = [("source-record-id", source)]
-    fields += [(f"source-{n}", v) for n in ("warc-block-digest", "warc-payload-digest", "content-type", "content-length") if (v := given.get(n))]
-    told_digest = given.get("warc-payload-digest") or digest(payload)
-    fields += [("payload-digest", told_digest), ("payload-length", str(len(payload)))]
+    fields += [(f"source-{n.lower()}", v) for n, v in headers]
+    own_digest = digest(payload)
+    told_digest = given.get("warc-payload-digest") or own_digest
+    fields += [("payload-digest", own_digest), ("payload-length", str(len(payload)))]
     fields += [("http-status", status)] if status else []
     fields += [(f"http-header-{n.lower()}", v) for n, v in http]
     fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []

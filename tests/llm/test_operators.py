@@ -555,6 +555,15 @@ def test_warc_derivatives_of_all_pages(spark):
         assert text["block"] == W.plain_text(page.html) and "<p>" not in text["block"]
 
 
+def test_warc_metadata_keeps_source_headers_and_takes_the_digest():
+    from cardloom.llm import warc_derivatives as W
+
+    given = [("WARC-Type", "response"), ("WARC-Record-ID", "<r>"), ("WARC-IP-Address", "192.0.2.1"), ("WARC-Truncated", "length"), ("X-A", "1"), ("X-A", "2"), ("WARC-Payload-Digest", W.digest(b"other"))]
+    block = W.derive(given, b"HTTP/1.1 200 OK\r\n\r\n<p>a")[0][1].decode().split("\r\n")
+    assert {f"source-{n.lower()}: {v}" for n, v in given} <= set(block)
+    assert f"payload-digest: {W.digest(b'<p>a')}" in block
+
+
 def test_warc_round_trip_and_edge_cases(spark):
     import gzip
     import io
