@@ -49,6 +49,8 @@ HUB_ROUNDS, LEAST_YIELD = 4, 0.1
 #: Pairs whose estimate of 256 coordinates is lower are not compared in blocks: 5.5 standard deviations
 #: below 0.75.
 LEAST_ESTIMATE = 0.6
+#: Least percentage for which bands and estimate find the links.
+LEAST_SHARE = 75
 #: Families of buckets are compared as wholes up to so many estimates, else each bucket by itself.
 MOST_ESTIMATES = 10**10
 #: Links are joined in one task up to so many (16 bytes each); beyond that by rounds over the cluster.
@@ -328,8 +330,10 @@ def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text:
     Edge cases: a text without words (or null) has an empty set and no link; a row without
     a doc_id is linked with nothing, has no component and is kept; rows that share a
     doc_id are one document and are linked; an empty table gives an empty result; other
-    columns are ignored.
+    columns are ignored.  A ``share`` under ``LEAST_SHARE`` is refused, as links would be missed.
     """
+    if share < LEAST_SHARE:
+        raise ValueError(f"share is {share}; bands and estimates find links from {LEAST_SHARE} percent only")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut(signatures(docs))
     linked = signed.where("doc_id is not null and n_shingles > 0")

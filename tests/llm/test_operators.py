@@ -478,6 +478,11 @@ def test_token_files(spark, docs, odd, none, monkeypatch):
     assert code_store.read_store(spark, folder).count() == 0
 
 
+def test_near_duplicates_refuse_a_share_that_bands_would_miss(none):
+    with pytest.raises(ValueError, match="75"):
+        circulant_dedup.near_duplicates(none, share=60)
+
+
 # -- pipeline ----------------------------------------------------------------------------
 
 
