@@ -15,11 +15,18 @@ pair of the whole text, leftmost first, one at a time:
 * Merging several pairs of one rank in a round is safe when no pair that a merge makes
   ranks before it.  Ranks for which the vocabulary has such a pair are merged
   one at a time in a word.
+
+A round costs time in proportion to what is left of a word, and a long word (an unbroken run of letters,
+spaces, base64) has thousands of ranks, so rounds would take quadratic time there.  Words of more than
+``ROUND_SYMBOLS`` symbols are merged one pair at a time instead, best rank first, leftmost first, from
+a heap over a linked list: n log n, with about 100 bytes a symbol.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +37,10 @@ from pyspark.sql import functions as F
 from cardloom.llm.workers import held, in_batches
 from cardloom.llm.words import IS_FIRST, coded, flat, slices
 
-#: A worker forgets its words when it has seen so many distinct ones.
-CACHE_WORDS = 600_000
+#: A worker forgets its words when it holds so many distinct ones, or so many bytes of them.
+CACHE_WORDS, CACHE_BYTES = 600_000, 32 << 20
+#: Longer words are merged from a heap.
+ROUND_SYMBOLS = 256
 #: The library's mark for a space.
 SPACE = "▁"
 _SPACE = np.frombuffer(SPACE.encode(), np.uint8)
@@ -83,6 +92,7 @@ class Merger:
             early = made & (self.ranks <= rank[part])
             single[rank[part[early]]] = True
         self.single = single
+        self.pairs = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
         # a two-level table: where each left id's pairs are
         self.first = np.searchsorted(self.keys, np.arange(len(self.pieces) + 2, dtype=np.int64) << 20)
 
@@ -115,6 +125,7 @@ class Merger:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held_bytes = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1, np.int64)
 
@@ -176,6 +187,70 @@ class Merger:
         order = np.argsort(origin, kind="stable")
         return symbol[order], word[order], origin[order]
 
+    def merge_long(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge one word from a heap of (rank, place); returns ids and the index of each one's first symbol.
+
+        Gives what :meth:`merge` gives.  ``rank`` holds the rank of each place's pair as it is now, so
+        an entry of the heap whose pair has changed since is known by its rank and passed over.
+        """
+        n = len(symbol)
+        row = self._found(symbol[:-1], symbol[1:])
+        rank = array("q", np.append(np.where(row >= 0, self.ranks[row], -1), -1).tobytes())
+        place = np.flatnonzero(row >= 0)
+        heap = np.sort(self.ranks[row[place]] << 40 | place).tolist()  # a sorted list is a heap
+        ids = array("q", symbol.astype(np.int64).tobytes())
+        after, before = array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+        pairs, low = self.pairs, (1 << 40) - 1
+        while heap:
+            entry = heapq.heappop(heap)
+            at = entry & low
+            if rank[at] != entry >> 40:
+                continue
+            gone = after[at]
+            ids[at] = made = pairs[ids[at] << 20 | ids[gone]][1]
+            rank[gone] = -1
+            after[at] = then = after[gone]
+            rank[at] = -1
+            if then < n:
+                before[then] = at
+                found = pairs.get(made << 20 | ids[then]) if ids[then] >= 0 else None
+                if found:
+                    rank[at] = found[0]
+                    heapq.heappush(heap, found[0] << 40 | at)
+            left = before[at]
+            if left >= 0:
+                found = pairs.get(ids[left] << 20 | made) if ids[left] >= 0 else None
+                rank[left] = -1
+                if found:
+                    rank[left] = found[0]
+                    heapq.heappush(heap, found[0] << 40 | left)
+        after = np.frombuffer(after, np.int64)
+        alive = np.zeros(n + 1, bool)
+        alive[0] = True
+        at, links = 0, after.tolist()
+        while at < n:
+            alive[at] = True
+            at = links[at]
+        origin = np.flatnonzero(alive[:n])
+        return np.frombuffer(ids, np.int64)[origin], origin
+
+    def _merge_all(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`merge` with long words taken out and merged by themselves."""
+        sizes = np.bincount(word) if len(word) else np.zeros(0, np.int64)
+        long = np.flatnonzero(sizes > ROUND_SYMBOLS)
+        if not len(long):
+            return self.merge(symbol, word)
+        first = np.cumsum(sizes) - sizes
+        rest = np.flatnonzero(~np.isin(word, long))
+        ids, words, origin = self.merge(symbol[rest], word[rest])
+        done = [(ids, words, rest[origin])]
+        for w in long.tolist():
+            ids, origin = self.merge_long(symbol[first[w] : first[w] + sizes[w]])
+            done.append((ids, np.full(len(ids), w), origin + first[w]))
+        ids, words, origin = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(origin, kind="stable")
+        return ids[order], words[order], origin[order]
+
     def _merge_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words in a row, and how many each has."""
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -184,7 +259,7 @@ class Merger:
         point = _points(data, first)
         word = np.searchsorted(ends, first, "right")
         symbol = self.char_ids[self.number[point]]
-        symbol, word, origin = self.merge(symbol, word)
+        symbol, word, origin = self._merge_all(symbol, word)
         # an unknown character gives the pieces of its bytes
         sizes = np.diff(np.append(first, len(data)))
         lengths = np.where(symbol < 0, sizes[origin], 1)
@@ -197,7 +272,7 @@ class Merger:
         return ids, np.bincount(word, weights=lengths, minlength=len(words)).astype(np.int64)
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) + len(words) > CACHE_WORDS and self.known:
+        if self.known and (len(self.known) + len(words) > CACHE_WORDS or self.held_bytes + sum(map(len, words)) > CACHE_BYTES):
             self._forget()
         known = self.known
         new = [w for w in words if w not in known]
@@ -208,6 +283,7 @@ class Merger:
                 self.ids = np.concatenate((self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)))
             self.ids[used : used + len(ids)] = ids
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.held_bytes += sum(map(len, new))
             self.ends = np.concatenate((self.ends, used + np.cumsum(counts)))
         return np.fromiter((known[w] for w in words), np.int64, len(words))
 

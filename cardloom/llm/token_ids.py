@@ -15,8 +15,8 @@ import pyarrow as pa
 from cardloom.llm.workers import held
 from cardloom.llm.words import IS_SPACE, coded, flat
 
-#: A worker forgets its pieces when it has seen so many distinct ones.
-CACHE_PIECES = 600_000
+#: A worker forgets its pieces when it holds so many distinct ones, or so many bytes of them.
+CACHE_PIECES, CACHE_BYTES = 600_000, 32 << 20
 
 #: So many new pieces go to the library as one text.
 RUN = 256
@@ -49,12 +49,13 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.held_bytes = 0
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = np.zeros(1, np.int64)
 
     def _look_up(self, pieces: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) + len(pieces) > CACHE_PIECES and known:
+        if known and (len(known) + len(pieces) > CACHE_PIECES or self.held_bytes + sum(map(len, pieces)) > CACHE_BYTES):
             self._forget()
             known = self.known
         new = [p for p in pieces if p not in known]
@@ -77,6 +78,7 @@ class Encoder:
                 self.ids = np.concatenate((self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)))
             self.ids[used : used + len(ids)] = ids
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.held_bytes += sum(map(len, new))
             self.ends = np.concatenate((self.ends, used + last + 1))
         return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
 

@@ -120,6 +120,45 @@ def test_piece_bpe_equals_the_library_both_ways():
         assert decoded[i].decode() == library.decode(want)
 
 
+@pytest.mark.parametrize("kind", ["spaces", "letters", "base64", "one letter"])
+def test_a_million_unbroken_characters_equal_the_library_in_seconds(kind):
+    import base64
+    import time
+
+    import sentencepiece
+
+    path, rng, n = public_tokenizers.path("piece_bpe_32k.model"), random.Random(11), 1_000_000
+    text = {"spaces": " " * n, "letters": "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "base64": base64.b64encode(rng.randbytes(n * 3 // 4)).decode(), "one letter": "e" * n}[kind]
+    m, library = merge_rounds.Merger(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    began = time.time()
+    ids, at = m.encode(pa.array([text]))
+    decoded = m.decode(ids, at)[0].decode()
+    assert time.time() - began < 30
+    want = library.encode(text, add_bos=True, add_eos=True)
+    assert ids.tolist() == want and decoded == library.decode(want)
+
+
+def test_heap_and_rounds_merge_alike(monkeypatch):
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(12)
+    texts = pa.array(random_texts(500, 12, 200) + ["".join(rng.choices("ab  thei中=", k=rng.randint(1, 400))) for _ in range(300)], pa.string())
+    rounds = merge_rounds.Merger(path).encode(texts)
+    monkeypatch.setattr(merge_rounds, "ROUND_SYMBOLS", 1)
+    heap = merge_rounds.Merger(path).encode(texts)
+    assert rounds[0].tolist() == heap[0].tolist() and rounds[1].tolist() == heap[1].tolist()
+
+
+@pytest.mark.parametrize("module, setting", [("token_ids", "CACHE_BYTES"), ("merge_rounds", "CACHE_BYTES")])
+def test_what_a_worker_holds_is_bounded_by_bytes(monkeypatch, module, setting):
+    import importlib
+
+    monkeypatch.setattr(importlib.import_module(f"cardloom.llm.{module}"), setting, 5000)
+    rng = random.Random(13)
+    made = Encoder(public_tokenizers.path("byte_bpe_50k.json")) if module == "token_ids" else merge_rounds.Merger(public_tokenizers.path("piece_bpe_32k.model"))
+    for _ in range(20):
+        made.encode(pa.array(["".join(rng.choices("abcdefgh", k=3000))]))
+        assert sum(map(len, made.known)) == made.held_bytes <= 5000
+
+
 def test_workers_that_forget_give_the_same_ids(monkeypatch):
     from cardloom.llm import token_ids
 
