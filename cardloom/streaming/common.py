@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
+from cardloom.operators import lineage
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cardloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +18,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
-    """Run the stream over all that is there, into Parquet in the shared folder, and read that."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    folder = shared_folder(spark, name)
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Run the stream over all that is there, into Parquet in the shared folder, and read that.
+
+    The session's state store is as before when the stream has ended, and the stream's own state is removed.
+    """
+    spark, setting = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    folder = lineage.new_folder(spark, name)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+    lineage.remove(spark, f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
