@@ -2,65 +2,67 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.lineage import cut, new_folder, remove, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent (tests on one machine) a local folder is
-    made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="cardloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+#: Values that are sampled for each bucket of :func:`gapless`; buckets for each partition of a shuffle.
+SAMPLED, BUCKETS = 20, 8
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/cardloom-{name}-{uuid.uuid4().hex}"
+def parts(spark: SparkSession) -> int:
+    """The number of partitions this session deals shuffles out to."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder and read it from there.
+def _bounds(df: DataFrame, order: str, rows: int) -> np.ndarray:
+    """Bounds between buckets of about equally many rows: a sorted sample of ``order``, each value as often as it fell.
 
-    A reliable checkpoint: it survives lost executors, and Spark's cleaner
-    removes its files when nothing refers to them.
+    The sample has about ``SAMPLED`` values (8 bytes each) for each of ``BUCKETS`` times the shuffle's partitions.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def parts(spark: SparkSession) -> int:
-    """The number of partitions this session deals shuffles out to."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = df.count()
+    buckets = min(BUCKETS * parts(df.sparkSession), n // rows)
+    if buckets < 2:
+        return np.zeros(0, np.int64)
+    share = min(1.0, SAMPLED * buckets / n)
+    values = df.select(F.coalesce(order, F.lit(-(2**63))).alias("v"))
+    found = np.sort(np.array([r["v"] for r in (values.sample(share, 1) if share < 1 else values).collect()], np.int64))
+    return found[[len(found) * i // buckets for i in range(1, buckets)]] if len(found) else found
 
 
 def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str, ...] = (), bucket_rows: int = 4096) -> DataFrame:
     """Add ``out``: 0, 1, 2, ... in each group of ``by`` in ascending ``order``.
 
     ``order`` is a long column; nulls come first, and rows with equal values
-    follow the columns ``ties``.  No task ever gets a whole group: rows are ranked
-    within buckets of consecutive values of ``order``, wide enough for about
-    ``bucket_rows`` rows, and a running sum over the bucket sizes (a small table)
-    gives each bucket its first number.  So a group with a third of all rows is spread like the others.
+    follow a hash of the columns ``ties``, then those.  No task ever gets a whole group: rows are ranked
+    within buckets of consecutive values, and a running sum over the bucket sizes (a small table)
+    gives each bucket its first number.  Bounds of buckets are taken from a sample, so neither one far value nor
+    dense ones leave a bucket overfull, and a value that many rows hold is dealt out
+    to several buckets by the hash.  Rows that agree in ``order`` and all of ``ties`` share a bucket.
     """
-    span = df.agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    width = bucket_rows
-    if span["a"] is not None:
-        width = min(max(width, (span["b"] - span["a"]) * bucket_rows // span["n"]), 2**62)
-    keyed = df.withColumn("_gapless_bucket", F.expr(f"coalesce({order} div {width}L - if({order} < 0, 1, 0), -9223372036854775808L)"))
+    bounds = _bounds(df, order, bucket_rows)
+    many = len(bounds) > 1 and bool((bounds[2:] == bounds[:-2]).any())
+
+    @F.pandas_udf("int")
+    def bucket(values: pd.Series, hashes: pd.Series) -> pd.Series:
+        v = values.to_numpy(np.int64)
+        low, high = np.searchsorted(bounds, v, "left"), np.searchsorted(bounds, v, "right")
+        share = (hashes.to_numpy(np.int64) >> 32).astype(np.float64) / 2**32 + 0.5
+        spread = np.where(high - low > 2, high - low, 1)
+        return pd.Series((low + np.minimum((share * spread).astype(np.int64), spread - 1)).astype(np.int32))
+
+    value = F.coalesce(F.col(order), F.lit(-(2**63)))
+    mixed = F.xxhash64(*ties) if ties and many else F.lit(0).cast("long")
+    keyed = df.withColumn("_gapless_hash", mixed)
+    keyed = keyed.withColumn("_gapless_bucket", bucket(value, F.col("_gapless_hash")) if len(bounds) else F.lit(0))
     sizes = keyed.groupBy(*by, "_gapless_bucket").agg(F.count(F.lit(1)).alias("_gapless_n"))
     before = Window.partitionBy(*by).orderBy("_gapless_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.withColumn("_gapless_first", F.coalesce(F.sum("_gapless_n").over(before), F.lit(0))).drop("_gapless_n")
     firsts = firsts.select(*[F.col(c).alias(f"_gapless_k{i}") for i, c in enumerate(by)], F.col("_gapless_bucket").alias("_gapless_kb"), "_gapless_first")
-    inside = Window.partitionBy(*by, "_gapless_bucket").orderBy(F.col(order).asc_nulls_first(), *ties)
+    inside = Window.partitionBy(*by, "_gapless_bucket").orderBy(F.col(order).asc_nulls_first(), "_gapless_hash", *ties)
     ranked = keyed.withColumn("_gapless_in", F.row_number().over(inside) - 1)
     on = [F.col(c).eqNullSafe(F.col(f"_gapless_k{i}")) for i, c in enumerate(by)] + [F.col("_gapless_bucket") == F.col("_gapless_kb")]
     return ranked.join(firsts, on, "left").withColumn(out, (F.col("_gapless_first") + F.col("_gapless_in")).cast("long")).select(*df.columns, out)

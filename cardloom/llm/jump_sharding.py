@@ -20,6 +20,7 @@ from cardloom.llm.frames import gapless
 LCG = np.uint64(2862933555777941757)
 #: Null keys are placed as this key.
 NULL_KEY = -1
+_KEY = "_jump_sharding_key"
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -65,12 +66,13 @@ def shard_documents(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     kind = dict(docs.dtypes)[key]
     long_key = F.col(key).cast("long") if kind in ("bigint", "int", "smallint", "tinyint") else F.when(F.col(key).isNotNull(), F.xxhash64(key))
-    placed = (
-        docs.select(*[c for c in docs.columns if c not in made and c != "_key"], long_key.alias("_key"))
-        .withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
-        .withColumn("text_crc32", F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-        .withColumn("law", F.lit("key"))
-        .withColumn("shard", shard_column(F.col("_key"), shards))
-        .withColumn("grown_shard", shard_column(F.col("_key"), shards + 1))
+    placed = docs.select(
+        *[c for c in docs.columns if c not in made],
+        long_key.alias(_KEY),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
+        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        shard_column(long_key, shards).alias("shard"),
+        shard_column(long_key, shards + 1).alias("grown_shard"),
     )
-    return gapless(placed, ["shard"], "_key", "slot", ties=("size", "text_crc32")).drop("_key")
+    return gapless(placed, ["shard"], _KEY, "slot", ties=("size", "text_crc32")).drop(_KEY)
