@@ -92,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": oracles.SECRETS, "op8_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op1_sharding": oracles.SHARDS, "op3_secrets": oracles.SECRETS, "op8_near_duplicates": oracles.NEAR_DUPLICATES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardloom.llm.owned_secrets import ACCESS, HEX, KINDS, MAX_OWNERS
+from cardloom.llm.owned_secrets import ACCESS, HEX, KINDS, LEAST_BITS, MAX_OWNERS, MAX_REPOSITORIES, MIXED, RUN
 
 # SQL's case-insensitive flag folds more than ASCII, so each letter is spelt out both ways.
 _KEYWORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
@@ -21,16 +21,20 @@ def _joined(spans: str) -> str:
     return f"array_to_string(list_transform({spans}, lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
 
 
+_BITS = "-list_sum(list_transform(list_distinct(string_split(r, '')), lambda c: (length(r) - length(replace(r, c, ''))) / length(r) * log2((length(r) - length(replace(r, c, ''))) / length(r))))"
+_RANDOM = f"len(list_filter(regexp_extract_all(x.v, '{RUN}'), lambda r: regexp_matches(r, '{MIXED}') AND round({_BITS}, 6) >= {LEAST_BITS})) > 0"
+_COPIED = f"(owners > {MAX_OWNERS} OR repositories > {MAX_REPOSITORIES})"
+
 SECRETS = f"""WITH d AS (SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
 raw AS (SELECT doc_id, owner, repository,
   list_sort(list_concat(list_concat({_spans(_ASSIGN, 0, 2, 12)}, {_spans(ACCESS, 1, 0, 18)}), {_spans(HEX, 2, 0, 16)})) AS base,
   {_spans('[A-Za-z0-9_-]{20,}', 3, 0, 20)} AS more FROM d),
-rows AS (SELECT doc_id, owner, repository, base, list_filter(more, lambda x: regexp_matches(x.v, '[0-9].*[0-9]') AND regexp_matches(x.v, '[A-Za-z].*[A-Za-z]')
+rows AS (SELECT doc_id, owner, repository, base, list_filter(more, lambda x: {_RANDOM}
   AND len(list_filter(base, lambda b: b.s < x.e AND x.s < b.e)) = 0) AS others FROM raw),
 each AS (SELECT doc_id, owner, repository, unnest(list_concat(base, others)) AS x FROM rows),
-known AS (SELECT x.v AS value, count(DISTINCT coalesce(owner, '')) AS owners FROM each GROUP BY x.v),
-told AS (SELECT doc_id, list(x) FILTER (x.k = 3 AND owners <= {MAX_OWNERS}) AS added, count(*) FILTER (x.k < 3 AND owners > {MAX_OWNERS}) AS n_copied,
-  count(*) FILTER (x.k < 3 AND owners <= {MAX_OWNERS}) AS n_live FROM each JOIN known ON value = x.v GROUP BY doc_id)
+known AS (SELECT x.v AS value, count(DISTINCT coalesce(owner, '')) AS owners, count(DISTINCT (coalesce(owner, ''), repository)) AS repositories FROM each GROUP BY x.v),
+told AS (SELECT doc_id, list(x) FILTER (x.k = 3 AND NOT {_COPIED}) AS added, count(*) FILTER (x.k < 3 AND {_COPIED}) AS n_copied,
+  count(*) FILTER (x.k < 3 AND NOT {_COPIED}) AS n_live FROM each JOIN known ON value = x.v GROUP BY doc_id)
 SELECT doc_id, CAST(len(list_filter(base, lambda x: x.k = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(base, lambda x: x.k = 1)) AS BIGINT) AS n_access,
   CAST(len(list_filter(base, lambda x: x.k = 2)) AS BIGINT) AS n_hex, sha256({_joined('base')}) AS base_sha256,
   {_joined('list_sort(list_concat(base, coalesce(added, [])))')} AS spans, CAST(coalesce(len(added), 0) AS BIGINT) AS n_owned,
@@ -47,3 +51,18 @@ ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
+
+# CRC-32 by a table from its polynomial, then the published jump loop on unsigned 64-bit states.
+SHARDS = r"""WITH RECURSIVE digits AS (SELECT 0 AS step, i AS c, i AS v FROM range(256) t(i) UNION ALL
+  SELECT step + 1, c, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM digits WHERE step < 8),
+crc_table AS (SELECT list(v ORDER BY c) AS tbl FROM digits WHERE step = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (SELECT r, xor(list_reduce(list_concat([4294967295], list_transform(range(n), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
+  lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc_table),
+jump AS (SELECT r, shards, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j, CAST((CAST(coalesce(doc_id, -1) AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS UHUGEINT) AS state FROM d, (VALUES (8), (9)) s(shards)
+  UNION ALL SELECT r, shards, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST((next >> 33) + 1 AS DOUBLE))) AS BIGINT), next
+  FROM (SELECT *, (state * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS next FROM jump WHERE j < shards)),
+placed AS (SELECT r, shards, b FROM jump WHERE j >= shards)
+SELECT d.doc_id, n + 1 AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(p.b AS INT) AS shard,
+  row_number() OVER (PARTITION BY p.b ORDER BY d.doc_id NULLS FIRST) - 1 AS slot, CAST(g.b AS INT) AS grown_shard
+FROM d JOIN crc USING (r) JOIN placed p ON p.r = d.r AND p.shards = 8 JOIN placed g ON g.r = d.r AND g.shards = 9"""

@@ -1,10 +1,11 @@
 """Secrets in texts, and who owns them: native DataFrame expressions throughout.
 
 Three kinds are found by their form (assign, access, hex).  Beyond those, a long token of
-letters and digits is a candidate.  Candidates of all documents are aggregated by
+letters and digits is a candidate if it looks random: a run without a separator whose letters and digits
+alternate and whose characters have a high entropy.  Candidates of all documents are aggregated by
 the hash of their value: in how many repositories and by how many owners does
-it occur?  What many owners share is a widely copied example; what belongs to
-few owners looks like a live credential and is added as kind ``owned``.  Base spans
+it occur?  What many owners share, or many repositories of few owners, is a widely copied example; what
+belongs to few of either looks like a live credential and is added as kind ``owned``.  Base spans
 are always kept; the frequency tells for each document how many of its values are copied.
 """
 
@@ -19,10 +20,18 @@ from cardloom.llm.frames import cut
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: Candidates of the method: tokens that hold digits and letters.
+#: Candidates of the method: long tokens.
 CANDIDATE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}"
-#: More owners than these share an example.
-MAX_OWNERS = 2
+#: A candidate has a run of letters and digits that looks random: so many characters, digits in three places
+#: with letters between them, and so many bits of entropy a character.  Measured on 20,000 made ones of each:
+#: 97 % of random tokens of 20 to 40 characters in base 36 pass and 81 % in base 62, no slug of words, dates, numbers
+#: and versions, 2 % of names of words and numbers run together.
+RUN, MIXED, LEAST_BITS = r"[A-Za-z0-9]{16,}", r"[0-9][A-Za-z]+[0-9]+[A-Za-z]+[0-9]", 3.0
+#: More owners than these, or more repositories, share an example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
+#: A value that more than one in so many occurrences has is joined by broadcast (so there are fewer than
+#: that); copies of a verdict for rows that share key and text.
+HOT, LOTS = 10_000, 8
 KINDS = ("assign", "access", "hex", "owned")
 
 
@@ -64,18 +73,36 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     ]
     other = _guarded(t, f"{t} RLIKE r'[A-Za-z0-9_-]{{20}}'", spans(t, CANDIDATE, 3, 0, 20))
     out = docs.withColumn("base", F.expr(f"array_sort(concat({', '.join(base)}))")).withColumn("others", F.expr(other))
-    return out.withColumn("others", F.expr(r"filter(others, x -> x.v RLIKE r'[0-9].*[0-9]' AND x.v RLIKE r'[A-Za-z].*[A-Za-z]' AND NOT exists(base, b -> b.s < x.e AND x.s < b.e))"))
+    return out.withColumn("others", F.expr(f"filter(others, x -> {_random('x.v')} AND NOT exists(base, b -> b.s < x.e AND x.s < b.e))"))
+
+
+def _random(value: str) -> str:
+    """SQL: does a part of the value look random?"""
+    bits = "-aggregate(transform(array_distinct(split(r, '')), c -> (length(r) - length(replace(r, c, ''))) / length(r)), 0D, (a, p) -> a + p * log2(p))"
+    return f"exists(regexp_extract_all({value}, r'({RUN})', 1), r -> r RLIKE r'{MIXED}' AND round({bits}, 6) >= {LEAST_BITS})"
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, owners, repositories: of each candidate's hash in all documents.
+    """value, owners, repositories, n: of each candidate's hash in all documents, and how often it was found.
 
     ``found``: value, owner, repository.  Rows are reduced to distinct ones before
     each shuffle, so a value that a third of all documents hold is no burden.
     """
-    places = found.groupBy("value", "owner", "repository").agg(F.lit(1).alias("x"))
-    owners = places.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
+    places = found.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    owners = places.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"))
+    return owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("r").alias("repositories"), F.sum("n").alias("n"))
+
+
+def _told(each: DataFrame, known: DataFrame) -> DataFrame:
+    """Add ``copied`` to rows with a value; the few values that many rows hold are not brought together."""
+    copied = (F.col("owners") > MAX_OWNERS) | (F.col("repositories") > MAX_REPOSITORIES)
+    known = cut(known.select("value", copied.alias("copied"), "n"))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") > total // HOT  # of fewer than HOT values
+    hot = F.broadcast(known.where(often).select("value", F.col("copied").alias("_hot")))
+    rows = each.join(hot, "value", "left")
+    rare = rows.where("_hot is null").drop("_hot").join(known.where(~often).select("value", "copied"), "value")
+    return rows.where("_hot is not null").withColumnRenamed("_hot", "copied").unionByName(rare)
 
 
 def _joined(array: str) -> str:
@@ -88,36 +115,43 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, key: str =
     """Secrets of every whole text.
 
     Returns key, n_assign, n_access, n_hex, base_sha256, spans, n_owned (added spans),
-    n_copied and n_live (base values that more than / at most ``MAX_OWNERS`` owners
-    share), and ``found``: array of (s, k, e, v) of all spans in order.
+    n_copied and n_live (base values that are / are not widely copied), and ``found``: array of (s, k, e, v) of all spans in order.
 
     Edge cases: a null text is empty; null owners or repositories count as one more owner or
     repository; rows that share key and text get equal results; null keys are kept; an
     empty table gives an empty result; other columns are ignored.
     """
+    none = "cast(array() as array<struct<s: int, k: int, e: int, v: string>>)"
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), owner.cast("string").alias("owner"), repository.cast("string").alias("repository"))
     rows = scanned(rows, "_text").select("_key", F.xxhash64("_text").alias("_hash"), "owner", "repository", "base", "others")
     rows = cut(rows)
-    each = rows.where("size(base) + size(others) > 0").withColumn("x", F.explode(F.concat("base", "others")))
+    some = rows.where("size(base) + size(others) > 0")
+    each = some.withColumn("x", F.explode(F.concat("base", "others")))
     each = each.select("_key", "_hash", "owner", "repository", "x", F.sha2("x.v", 256).alias("value"))
-    known = ownership(each.select("value", "owner", "repository"))
     # One row for each document with a candidate; rows that share key and text have the same spans.
-    told = each.dropDuplicates(["_key", "_hash", "x"]).join(known, "value")
-    copied = F.col("owners") > MAX_OWNERS
+    distinct = each.groupBy("_key", "_hash", "x", "value").agg(F.lit(1).alias("_one")).drop("_one")
+    told = _told(distinct, ownership(each.select("value", "owner", "repository")))
     base = F.col("x.k") < 3
     verdicts = told.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(
-        F.collect_list(F.when(~base & ~copied, F.col("x"))).alias("added"),
-        F.count_if(base & copied).alias("n_copied"),
-        F.count_if(base & ~copied).alias("n_live"),
+        F.collect_list(F.when(~base & ~F.col("copied"), F.col("x"))).alias("added"),
+        F.count_if(base & F.col("copied")).alias("n_copied"),
+        F.count_if(base & ~F.col("copied")).alias("n_live"),
+    )
+    # Rows that share key and text are dealt out; which lot a row is in does not matter, as each has the verdict.
+    lots = verdicts.withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    dealt = some.withColumn("_lot", (F.monotonically_increasing_id() % LOTS).cast("int"))
+    joined = dealt.join(lots, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")) & (F.col("_lot") == F.col("_l")))
+    out = joined.select("_key", "_hash", "base", "added", "n_copied", "n_live").unionByName(
+        rows.where("size(base) + size(others) = 0").select("_key", "_hash", "base", F.expr(f"{none} as added"), F.lit(0).cast("long").alias("n_copied"), F.lit(0).cast("long").alias("n_live"))
     )
-    out = rows.join(verdicts, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left").select(
+    out = out.select(
         F.col("_key").alias(key),
         *[F.expr(f"cast(size(filter(base, x -> x.k = {k})) as bigint)").alias(f"n_{KINDS[k]}") for k in range(3)],
         F.expr(f"sha2({_joined('base')}, 256)").alias("base_sha256"),
-        F.expr("array_sort(concat(base, coalesce(added, cast(array() as array<struct<s: int, k: int, e: int, v: string>>))))").alias("found"),
-        F.expr("cast(coalesce(size(added), 0) as bigint)").alias("n_owned"),
-        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"),
+        F.expr("array_sort(concat(base, added))").alias("found"),
+        F.expr("cast(size(added) as bigint)").alias("n_owned"),
+        "n_copied",
+        "n_live",
         "_hash",
     )
     return out.withColumn("spans", F.expr(_joined("found")))

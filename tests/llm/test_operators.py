@@ -80,6 +80,42 @@ def test_shards(spark, docs, odd, none):
     assert strings.groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def ranks(df):
+    found = defaultdict(list)
+    for r in df.collect():
+        found[r["g"]].append((r["n"], r["v"]))
+    return {g: sorted(x) for g, x in found.items()}
+
+
+@pytest.mark.parametrize("values", [
+    list(range(100_000)) + [2**62],
+    [0] * 60_000 + list(range(40_000)),
+    [None] * 30_000 + [7] * 30_000 + [-(2**62), 2**62 - 1],
+    [2**40 + i for i in range(20_000)] + [i * 10**13 for i in range(20_000)],
+    [3],
+    [],
+], ids=["one far", "one value often", "nulls and one value", "dense and wide", "one", "none"])
+def test_ranks_have_no_gaps_and_no_bucket_is_overfull(spark, monkeypatch, values):
+    seen = []
+    make = frames._bounds
+    monkeypatch.setattr(frames, "_bounds", lambda *a: seen.append(make(*a)) or seen[-1])
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(values)], "i long, v long, g int").repartition(4)
+    out = frames.gapless(df, ["g"], "v", "n", ties=("i",))
+    for pairs in ranks(out).values():
+        assert [n for n, _ in pairs] == list(range(len(pairs)))
+        least = [-(2**63) if v is None else v for _, v in pairs]
+        assert least == sorted(least)
+    assert out.count() == len(values) and len(seen[0]) <= 8 * 4
+
+
+def test_bounds_of_ranks_follow_the_rows(spark):
+    values = list(range(50_000)) + [2**62] + [9] * 50_000
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(4)
+    bounds = frames._bounds(df, "v", 4096)
+    # half of the rows hold one value, which gets half of the buckets; the far one takes none from the others
+    assert 10 < len(bounds) <= 32 and 0.4 < (bounds == 9).mean() < 0.6 and len(np.unique(bounds)) > 0.4 * len(bounds)
+
+
 # -- packing ----------------------------------------------------------------
 
 
@@ -159,13 +195,46 @@ def test_base_secrets(spark, docs):
 
 
 def test_ownership_separates_examples_from_live_ones(spark):
-    live, copied = "live9tok3nQWERTYUIOPasd", "example7tok3nQWERTYUIOP"
+    live, copied = "live9tok3nQWERTYU7IOPasd", "example7tok3nQWERTYU7IOP"
     data = [(i, f"x {copied} y", f"owner{i}", "r") for i in range(4)] + [(9, f"é {live} {copied}", "owner9", "r"), (10, f"{live}", "owner9", "q"), (11, "thewordthatislongbutplain", "o", "r")]
     got = {r["doc_id"]: r for r in rows(owned_secrets.find_secrets(spark.createDataFrame(data, "doc_id long, text string, owner string, repository string"), F.col("owner"), F.col("repository")))}
     assert got[9]["spans"] == f"owned:2:{2 + len(live)}" and got[9]["n_owned"] == 1
     assert got[10]["spans"] == f"owned:0:{len(live)}" and got[0]["spans"] == "" and got[11]["spans"] == ""
-    known = {r["value"]: (r["owners"], r["repositories"]) for r in rows(owned_secrets.ownership(spark.createDataFrame([("v", "a", "1"), ("v", "a", "2"), ("v", "b", "1"), ("v", "b", "1"), ("w", None, None)], "value string, owner string, repository string")))}
-    assert known == {"v": (2, 3), "w": (1, 1)}
+    known = {r["value"]: (r["owners"], r["repositories"], r["n"]) for r in rows(owned_secrets.ownership(spark.createDataFrame([("v", "a", "1"), ("v", "a", "2"), ("v", "b", "1"), ("v", "b", "1"), ("w", None, None)], "value string, owner string, repository string")))}
+    assert known == {"v": (2, 3, 4), "w": (1, 1, 1)}
+
+
+def test_many_repositories_of_few_owners_share_an_example(spark):
+    live, copied = "live9tok3nQWERTYU7IOPasd", "example7tok3nQWERTYU7IOP"
+    places = [("a", f"a/{i}") for i in range(3)] + [("b", "b/0")]
+    data = [(i, live, o, r) for i, (o, r) in enumerate(places)] + [(10 + i, copied, o, r) for i, (o, r) in enumerate([*places, ("b", "b/1")])]
+    found = rows(owned_secrets.find_secrets(spark.createDataFrame(data, "doc_id long, text string, owner string, repository string"), F.col("owner"), F.col("repository")))
+    # the same two owners; 4 repositories are few, 5 are not
+    assert {r["doc_id"]: r["n_owned"] for r in found} == {i: 1 for i in range(4)} | {10 + i: 0 for i in range(5)}
+
+
+def test_random_tokens_are_candidates_and_slugs_are_not(spark):
+    rng = random.Random(21)
+    words = "release notes windows version update chapter image photo report annual summary draft final copy page user guide".split()
+    slugs = []
+    for _ in range(2000):
+        parts = [rng.choice([rng.choice(words), rng.choice(words).title(), str(rng.randint(0, 2030)), f"v{rng.randint(0, 30)}", f"{rng.randint(1, 12)}h{rng.randint(1, 3)}", f"202{rng.randint(0, 9)}{rng.randint(1001, 1231)}"]) for _ in range(rng.randint(4, 9))]
+        slugs.append(rng.choice("-_").join(parts).ljust(20, "x"))
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tokens = ["".join(rng.choices(alphabet[26 * (i % 2) :], k=rng.randint(20, 40))) for i in range(2000)]
+    df = spark.createDataFrame([(i, t, f"o{i}", "r") for i, t in enumerate(slugs + tokens)], "doc_id long, text string, owner string, repository string")
+    hit = {r["doc_id"]: r["n_owned"] for r in rows(owned_secrets.find_secrets(df, F.col("owner"), F.col("repository")).select("doc_id", "n_owned"))}
+    assert sum(hit[i] for i in range(2000)) == 0
+    assert sum(hit[2000 + i] for i in range(0, 2000, 2)) > 750 and sum(hit[2000 + i] for i in range(1, 2000, 2)) > 950
+
+
+def test_a_value_in_a_third_of_all_rows_is_joined_by_broadcast(spark, monkeypatch):
+    data = [(i, "token = ghijklmnopqrstXYZ" if i % 3 == 0 else f"token = ghijklmnopqrstX{i}", f"o{i % 7}", "r") for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, owner string, repository string")
+    want = sorted(map(str, rows(owned_secrets.find_secrets(df, F.col("owner"), F.col("repository")))))
+    monkeypatch.setattr(owned_secrets, "HOT", 10)
+    got = rows(owned_secrets.find_secrets(df, F.col("owner"), F.col("repository")))
+    assert sorted(map(str, got)) == want and {r["doc_id"]: r["n_copied"] for r in got} == {i: int(i % 3 == 0) for i in range(300)}
 
 
 def test_secrets_edge_cases(odd, none):
