@@ -284,6 +284,51 @@ def test_main_text():
     assert content_region.main_text(content_region.tokens("<p>a < b <!-- open"), weight) == "a < b"
 
 
+def learnt_weights():
+    """Weights as pages like ``PAGE`` teach them."""
+    within, outside = Counter(), Counter()
+    for i in range(40):
+        page = PAGE % f"<p>Here is sentence {i} of it. And then another one, which is longer than the first.</p>"
+        a, b = content_region.count_features(content_region.tokens(page.replace("Buy this now", "Buy this now, it is cheap. You will like it a lot.")))
+        within.update(a)
+        outside.update(b)
+    return content_region.weights([(f, within[f], outside[f]) for f in {*within, *outside}])
+
+
+PROSE = "Prices rose again this week. Analysts who had expected a fall were surprised by the strong demand from abroad."
+
+
+@pytest.mark.parametrize("mark", ['class="share-price"', 'id="menu-planning"', 'class="post related-work"', 'class="notice-period"', 'id="related-history" class="essay"', 'class="promotion-history"', 'class="headerless"', 'class="search-engines"', 'class="lead"', 'role="main"'])
+@pytest.mark.parametrize("marked", ["article", "div"])
+def test_article_text_stays_whatever_words_its_names_hold(mark, marked):
+    page = (PAGE % f"<div {mark}><p>{PROSE}</p></div>").replace("article", marked)
+    assert PROSE in content_region.main_text(content_region.tokens(page), learnt_weights())
+
+
+@pytest.mark.parametrize("inner", [
+    f'<section class="comments"><p>{PROSE}</p></section>', f'<div id="comment-list"><p>{PROSE}</p></div>', f'<ol class="userComments"><li>{PROSE}</ol>', f'<div class="ad">{PROSE}</div>',
+    f'<div class="cookie-notice">{PROSE}</div>', '<ul class="menu"><li><a href="/">Home page</a><li><a href="/x">Other page</a></ul>', '<div class="share-buttons"><a href="/">Share it</a> <a href="/">Send it</a></div>',
+    f'<aside>{PROSE}</aside>', f'<div role="complementary">{PROSE}</div>', f'<form>{PROSE}<input></form>', '<div class="related"><a href="/">Other page one</a><a href="/">Other page two</a></div>',
+])
+def test_what_is_no_part_of_an_article_goes(inner):
+    want = "A title here One two three & four five six seven eight nine. Ten eleven twelve thirteen. Last words of it all."
+    weight = learnt_weights()
+    assert content_region.main_text(content_region.tokens(PAGE % inner), weight) == want
+    assert content_region.main_text(content_region.tokens((PAGE % inner).replace("article", "div")), weight) == want
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+
+    weight = learnt_weights()
+    pages = ["<div>" * 20_000 + "</span>" * 20_000 + f"<p>{PROSE}</p>", PAGE % (f"<p>{PROSE}</p>" * 10_000), "<b>" * 50_000 + PROSE + "</i>" * 50_000, '<div class="' * 5_000 + PROSE]
+    for page in pages:
+        began = time.time()
+        text = content_region.main_text(content_region.tokens(page), weight)
+        assert time.time() - began < 10
+    assert content_region.main_text(content_region.tokens(pages[1]), weight).count(PROSE) == 10_000
+
+
 def test_crc_of_runs_is_that_of_ids():
     ids = np.array([1, 300, 70000])
     codes = code_store.CodeArray.of(ids)
