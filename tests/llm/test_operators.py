@@ -251,22 +251,40 @@ def test_secrets_plan_is_native(odd):
 # -- quality ------------------------------------------------------------------
 
 
-def plain_verdict(features, groups):
-    """The estimator by numpy, with exact quantiles in place of binned ones."""
-    floors = np.array([robust_quality.FLOORS[f] for f in robust_quality.FEATURES]) ** 2
+def plain_mcd(x):
+    """The reweighted estimate of one group by numpy, with exact quantiles in place of binned ones: distances."""
+    q, (n, p) = robust_quality, x.shape
+    middle, ridge = np.median(x, axis=0), q.RIDGE * np.eye(x.shape[1])
+    v = (1.4826 * np.median(abs(x - middle), axis=0)) ** 2 + q.RIDGE
+    z, ends = (x - middle) / np.sqrt(v), []
+
+    def far(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    for scores in (None, np.tanh(z), z / np.maximum(np.sqrt((z**2).sum(1, keepdims=True)), 1e-9)):
+        r = np.eye(p)
+        if scores is not None:
+            r = 0.99 * (s := scores.T @ scores) / np.sqrt(np.outer(np.diag(s), np.diag(s)))
+            np.fill_diagonal(r, 1)
+        mean, cov, last = middle, r * np.sqrt(np.outer(v, v)), np.inf
+        while True:
+            near = x[np.argsort(far(mean, cov), kind="stable")[: (n + p + 1) // 2]]
+            new = near.mean(axis=0), np.cov(near.T, bias=True) + ridge
+            if np.linalg.slogdet(new[1])[1] >= last - q.FALL:
+                break
+            (mean, cov), last = new, np.linalg.slogdet(new[1])[1]
+        ends.append((last, mean, cov))
+    _, mean, cov = min(ends, key=lambda e: e[0])
+    near = x[far(mean, cov) / q.consistency(p, q.SHARE) <= q.chi_square(p, q.REWEIGHT)]
+    return far(near.mean(axis=0), q.consistency(p, q.REWEIGHT) * (np.cov(near.T, bias=True) + ridge))
+
+
+def plain_verdict(features, words, groups):
     out = np.zeros(len(features))
     for g in set(groups):
         at = np.flatnonzero(np.array(groups) == g)
-        x = features[at]
-        mean = np.median(x, axis=0)
-        inverse = np.diag(1 / ((1.4826 * np.median(abs(x - mean), axis=0)) ** 2 + floors))
-        for _ in range(robust_quality.STEPS):
-            d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-            near = x[d <= np.quantile(d, robust_quality.SHARE, method="inverted_cdf")]
-            mean, inverse = near.mean(axis=0), np.linalg.inv(np.cov(near.T, bias=True) + np.diag(floors))
-        d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-        edge = np.quantile(d, robust_quality.SHARE, method="inverted_cdf")
-        out[at] = d / max(edge / robust_quality.chi_square(x.shape[1], robust_quality.SHARE), 1)
+        middle = np.median(features[at], axis=0)
+        out[at] = plain_mcd(middle + (features[at] - middle) * np.sqrt(words[at] / (words[at] + robust_quality.SHRINK))[:, None])
     return out
 
 
@@ -281,9 +299,9 @@ def test_robust_distances_equal_numpy(spark):
         data.append((i, text, "en" if i % 3 else "de", "s", 0))
     docs = spark.createDataFrame(data, SCHEMA)
     got = {r["doc_id"]: r for r in rows(robust_quality.judge(docs, ["lang", "source"]))}
-    told = robust_quality.statistics(docs).withColumns(robust_quality.features()).orderBy("doc_id").collect()
-    features = np.array([[r[f] for f in robust_quality.FEATURES] for r in told])
-    want = plain_verdict(features, [r["lang"] for r in told])
+    told = robust_quality.statistics(docs.withColumn("h", F.xxhash64("text"))).withColumns(robust_quality.features(robust_quality.dithered(F.col("h")))).orderBy("doc_id").collect()
+    features, words = np.array([[r[f] for f in robust_quality.FEATURES] for r in told]), np.array([r["n_words"] for r in told])
+    want = plain_verdict(features, words, [r["lang"] for r in told])
     near = np.array([got[i]["distance"] for i in range(300)])
     assert np.allclose(near, want, rtol=0.1, atol=0.2)
     assert [i for i in range(300) if not got[i]["kept"]] == list(range(0, 300, 25))
@@ -318,25 +336,50 @@ def test_each_statistic_rejects_at_several_strengths(spark):
 
 
 def test_estimate_has_the_least_determinant_of_its_starts(spark):
+    q = robust_quality
+    p = len(q.FEATURES)
     rng = np.random.default_rng(5)
-    x = np.abs(rng.normal(0, 0.3, (240, 6)) @ rng.normal(0, 1, (6, 6)))
+    x = np.abs(rng.normal(0, 0.3, (240, p)) @ rng.normal(0, 1, (p, p)))
     x[:100] += 2
-    cloud = spark.createDataFrame([("g", *map(float, r)) for r in x], ["grp", *robust_quality.FEATURES])
-    got = rows(robust_quality.estimates(cloud, True))[0]
-    floors = np.diag([robust_quality.FLOORS[f] ** 2 for f in robust_quality.FEATURES])
+    cloud = spark.createDataFrame([("g", 10**9, *map(float, r)) for r in x], ["grp", "n_words", *q.FEATURES])
+    got = rows(q.estimates(cloud, True))[0]
+    placed = q.drawn(cloud.join(q.medians(cloud), "grp"))
     ends = []
-    for r in rows(robust_quality.starts(cloud, True)):
-        mean, inverse, last = np.array(r["mean"]), np.array(r["inverse"]).reshape(6, 6), np.inf
+    for r in rows(q.starts(placed, True)):
+        mean, inverse, last = np.array(r["mean"]), np.array(r["inverse"]).reshape(p, p), np.inf
         while True:
             d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
-            near = x[np.argsort(d)[:124]]
-            cov = np.cov(near.T, bias=True) + floors
+            near = x[np.argsort(d)[: (240 + p + 1) // 2]]
+            cov = np.cov(near.T, bias=True) + q.RIDGE * np.eye(p)
             now = np.linalg.slogdet(cov)[1]
             if now >= last - 1e-6:
                 break
             mean, inverse, last = near.mean(axis=0), np.linalg.inv(cov), now
         ends.append(last)
-    assert len(ends) == 3 and got["logdet"] == pytest.approx(min(ends), abs=0.05)
+    assert len(ends) == 3 and got["logdet"] == pytest.approx(min(ends), abs=0.1)
+
+
+def test_a_vector_is_judged_by_its_own_language(spark):
+    """One text, two languages: where capitals and length always go together it is an outlier, where they are free it is not."""
+    rng = random.Random(17)
+
+    def text(length, capitals, n=150):
+        words = ["".join(rng.choices("abcdefghij", k=max(1, round(rng.gauss(length, 1.5))))) for _ in range(n)]
+        return " ".join(w.title() if rng.random() < capitals else w for w in words)
+
+    tied = [(lambda t: text(4 + 3 * t, 0.1 + 0.4 * t))(rng.random()) for _ in range(300)]
+    free = [text(4 + 3 * rng.random(), 0.1 + 0.4 * rng.random()) for _ in range(300)]
+    odd_one = text(4, 0.5)
+    data = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([(t, "xx") for t in tied] + [(t, "yy") for t in free] + [(odd_one, "xx"), (odd_one, "yy")])]
+    told = {r["doc_id"]: r for r in rows(robust_quality.judge(spark.createDataFrame(data, SCHEMA), ["lang", "source"]))}
+    assert not told[600]["kept"] and told[601]["kept"] and told[600]["distance"] > 4 * told[601]["distance"]
+    assert sum(not told[i]["kept"] for i in range(600)) < 12
+
+
+def test_a_text_that_fills_most_of_a_group_is_not_its_measure(spark):
+    data = [(i, junked(80, 0, None)[0][1] if i >= 80 else t, *rest) for i, (_, t, *rest) in enumerate(junked(80, 0, None) + junked(160, 0, None))]
+    told = rows(robust_quality.judge(spark.createDataFrame(data, SCHEMA), ["lang", "source"]))
+    assert sum(not r["kept"] for r in told) <= 2
 
 
 def test_labelled_junk_goes_and_clean_documents_stay(spark):

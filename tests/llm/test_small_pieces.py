@@ -261,6 +261,29 @@ def test_statistics_equal_a_plain_count():
     assert [tuple(int(got[k][i]) for k in keys) for i in range(len(texts))] == [plain_statistics(t) for t in texts]
 
 
+def test_word_statistics_equal_a_plain_count():
+    texts = random_texts(300, 18, 200) + ["Über Ähre “quoted” 3.5 x-y-z.. " + "a" * 50 + " http://x.y/?a=1&b=2"]
+    got = robust_quality.text_statistics(pa.array(texts))
+
+    def is_mark(c):
+        return (c < "\x80" and not c.isalpha()) or "\x80" <= c <= "\xbf" or "\u2000" <= c <= "\u2bff" or "\u3000" <= c <= "\u303f"
+
+    for i, t in enumerate(texts):
+        words = WORD.findall(t or "")
+        capitals = sum("A" <= w[0] <= "Z" or "\xc0" <= w[0] <= "\xde" for w in words)
+        want = len(set(words)), capitals, sum(min(2, sum(map(is_mark, w))) for w in words), sum(min(20, len(w)) for w in words)
+        assert tuple(int(got[k][i]) for k in ("n_distinct", "n_capitals", "n_marks", "n_short_chars")) == want
+
+
+def test_consistency_factors():
+    assert robust_quality.chi_square_share(robust_quality.chi_square(5, 0.5), 5) == pytest.approx(0.5, abs=0.003)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200_000, 5))
+    d = (x**2).sum(1)
+    for share in (0.5, 0.975):
+        assert (x[d <= np.quantile(d, share)] ** 2).mean() * robust_quality.consistency(5, share) == pytest.approx(1, abs=0.01)
+
+
 def test_chi_square_quantiles():
     assert robust_quality.chi_square(6, 0.5) == pytest.approx(5.348, abs=0.02)
     assert robust_quality.chi_square(4, 0.975) == pytest.approx(11.143, abs=0.05)
