@@ -6,7 +6,8 @@ k-th hash function, so all coordinates of a signature come from two permutations
 (X. Li, P. Li: C-MinHash, 2022).  In memory the coordinates of a shingle are one
 contiguous run of the second permutation.
 
-Documents with equal shingle sets are put together first.  Of the others, those that
+Rows and bands of a signature follow from the threshold: as many rows as keep a pair at the threshold from being
+missed with a probability of more than ``MISS``.  Documents with equal shingle sets are put together first.  Of the others, those that
 share a band of the signature are candidates.  Pairs are never listed for a whole
 bucket: a round compares each member of a bucket with one hub, components are formed
 from the confirmed links, and only buckets that still hold several components go on,
@@ -14,12 +15,15 @@ with other hubs.  The first round looks at a few bands alone, which puts most co
 large group together before the other bands are dealt out.  At last, what is not
 in the largest component of such buckets is compared with all their members, block by
 block: signatures sort out pairs far from the threshold, and no pair becomes a row but
-a confirmed one.  Every link is confirmed on the full shingle sets.
+a confirmed one.  Where that would be many blocks (a bucket of many documents that are not alike), its members are
+dealt out again by longer bands, and texts are only sent to blocks in which their signatures are near.
+Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.frames import cut, parts
+from cardloom.llm.frames import cut, parts, skew_join
 from cardloom.llm.workers import in_batches
 from cardloom.llm.words import Words, flat, slices
 
-#: Words of a shingle; bands and rows of a signature.  At a similarity of 0.75 a pair shares
-#: no band with a probability of (1 - 0.75^3)^25, about one in a million.
-WORDS, BANDS, ROWS = 5, 25, 3
-#: Bands of the first round; coordinates in all (those without a band serve to estimate).
-FIRST_BANDS, COORDINATES = 4, 256
+#: Words of a shingle.
+WORDS = 5
+#: A pair at the threshold shares no band with a probability of at most this; most coordinates and rows of all bands.
+MISS, MOST_COORDINATES, MOST_ROWS = 1e-6, 128, 6
+#: Bands of the first round; coordinates in all (those without a band serve to estimate); coordinates and rows of the longer
+#: bands by which members of overfull buckets are dealt out again.
+FIRST_BANDS, COORDINATES, LONG_COORDINATES, LONG_ROWS = 4, 256, 1536, 8
 UNIVERSE = 1 << 20
 SEED = 20220607
 #: Members are dealt out to tasks in lots of about so many documents and shingles.
@@ -46,11 +52,11 @@ LOT, LOT_SHINGLES = 1000, 500_000
 BROADCAST_ROWS = 500_000
 #: Rounds with hubs; one that confirms a smaller share of its pairs than this is the last one.
 HUB_ROUNDS, LEAST_YIELD = 4, 0.1
-#: Pairs whose estimate of 256 coordinates is lower are not compared in blocks: 5.5 standard deviations
-#: below 0.75.
-LEAST_ESTIMATE = 0.6
-#: Least percentage for which bands and estimate find the links.
-LEAST_SHARE = 75
+#: Pairs whose estimate of 256 coordinates is so many standard deviations below the threshold are not compared in blocks
+#: (a chance of 1e-8 at the threshold); ``exact`` compares them too.
+DEVIATIONS = 5.5
+#: Buckets that take more blocks than this are dealt out again.
+MOST_BLOCKS = 64
 #: Families of buckets are compared as wholes up to so many estimates, else each bucket by itself.
 MOST_ESTIMATES = 10**10
 #: Links are joined in one task up to so many (16 bytes each); beyond that by rounds over the cluster.
@@ -60,13 +66,32 @@ _U = np.uint64
 
 
 @functools.cache
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
+def _permutations(coordinates: int) -> tuple[np.ndarray, np.ndarray]:
     """The scattering permutation, and all circular shifts of the other as rows of a view."""
     rng = np.random.default_rng(SEED)
     scatter = rng.permutation(UNIVERSE).astype(np.uint32)
     other = rng.permutation(UNIVERSE).astype(np.uint32)
-    around = np.concatenate((other, other[: COORDINATES - 1]))
-    return scatter, np.lib.stride_tricks.sliding_window_view(around, COORDINATES)
+    around = np.concatenate((other, other[: coordinates - 1]))
+    return scatter, np.lib.stride_tricks.sliding_window_view(around, coordinates)
+
+
+def bands_needed(share: int, rows: int) -> int:
+    """How many bands of so many rows miss a pair at ``share`` percent with a probability of at most ``MISS``."""
+    return 1 if share >= 100 else math.ceil(math.log(MISS) / math.log1p(-((share / 100) ** rows)))
+
+
+def banding(share: int) -> tuple[int, int]:
+    """Bands and rows for a threshold: the most rows (so the fewest candidates) whose bands fit in the coordinates."""
+    fitting = [r for r in range(1, MOST_ROWS + 1) if 0 < share <= 100 and bands_needed(share, r) * r <= MOST_COORDINATES]
+    if not fitting:
+        raise ValueError(f"no banding finds links from {share} percent")
+    return max(bands_needed(share, fitting[-1]), FIRST_BANDS), fitting[-1]
+
+
+def least_estimate(share: int) -> float:
+    """The least share of equal coordinates with which a pair is compared."""
+    j = share / 100
+    return j - DEVIATIONS * math.sqrt(j * (1 - j) / COORDINATES)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,24 +131,30 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """The coordinates of a non-empty set."""
-    scatter, shifts = _permutations()
+    scatter, shifts = _permutations(coordinates)
     place = scatter[(shingles & _U(UNIVERSE - 1)).astype(np.int64)]
-    least = np.full(COORDINATES, UNIVERSE, np.uint32)
-    for a in range(0, len(place), 4096):
-        np.minimum(least, shifts[place[a : a + 4096]].min(axis=0), out=least)
+    least = np.full(coordinates, UNIVERSE, np.uint32)
+    step = max(1, (1 << 20) // coordinates)
+    for a in range(0, len(place), step):
+        np.minimum(least, shifts[place[a : a + step]].min(axis=0), out=least)
     return least
 
 
-_BAND = _mix(np.arange(1, BANDS + 1, dtype=_U))
-_ROW = _mix(np.arange(1000, 1000 + ROWS, dtype=_U)) | _U(1)
+def banded(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A name for each band of a signature."""
+    row, band = _mix(np.arange(1000, 1000 + rows, dtype=_U)) | _U(1), _mix(np.arange(1, bands + 1, dtype=_U))
+    with np.errstate(over="ignore"):
+        return _mix((least[: bands * rows].reshape(bands, rows) * row).sum(axis=1, dtype=_U) ^ band).view(np.int64)
+
 
 SIGNED = "doc_id long, n_shingles long, low long, high long, bands array<long>"
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, share: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set (low, high), and its bands."""
+    n_bands, n_rows = banding(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
@@ -133,11 +164,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     low.append(s.sum(dtype=_U))
                     high.append(_mix(s ^ _U(0xA0761D6478BD642F)).sum(dtype=_U))
-                    if len(s):
-                        least = signature(s)
-                        bands.append(_mix((least[: BANDS * ROWS].reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=_U) ^ _BAND).view(np.int64))
-                    else:
-                        bands.append(None)
+                    bands.append(banded(signature(s), n_bands, n_rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.array(low, _U).view(np.int64)), pa.array(np.array(high, _U).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "low", "high", "bands"],
@@ -157,25 +184,65 @@ def alike(x: np.ndarray, y: np.ndarray, share: int) -> bool:
     return 100 * both >= share * (len(x) + len(y) - both)
 
 
-def compared(members: DataFrame, docs: DataFrame, share: int) -> DataFrame:
-    """Links (a, b) between members of one key but different components.
+def _lots(members: DataFrame) -> DataFrame:
+    """key, main, all_lots, asked_lots: of each key with several components the largest, and how many lots its members make.
 
-    ``members``: key, rep, component, n (a computed table).  Of each key, those outside its largest
-    component are asked (every pair of components has one of them) against all members, in blocks
-    of a lot of the one and a lot of the other.
+    Those outside the largest component are asked (every pair of components has one of them) against all members.
     """
-    n = parts(members.sparkSession)
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1")
     lots = f"cast(greatest(ceil(%s / {LOT}), ceil(%s / {LOT_SHINGLES})) as int)"
     top = sizes.select("key", "component", F.col("m").alias("tm"), F.col("w").alias("tw"))
     keys = largest.withColumn("component", F.col("top.component")).join(top, ["key", "component"])
-    keys = cut(_few(keys.select("key", F.col("component").alias("main"), F.expr(lots % ("m", "w")).alias("all_lots"), F.expr(lots % ("(m - tm)", "(w - tw)")).alias("asked_lots"))))
-    rows = members.join(keys, "key")
+    return cut(_few(keys.select("key", F.col("component").alias("main"), F.expr(lots % ("m", "w")).alias("all_lots"), F.expr(lots % ("(m - tm)", "(w - tw)")).alias("asked_lots"), F.col("m").alias("members"))))
+
+
+def _redealt(members: DataFrame, keys: DataFrame, docs: DataFrame, share: int) -> DataFrame:
+    """Members of overfull keys under new keys, one for each long band they share within their key; the others as they are."""
+    over = keys.where(F.col("all_lots") * F.col("asked_lots") > MOST_BLOCKS).select("key", "members")
+    if not over.limit(1).count():
+        return members
+    n_bands = bands_needed(share, LONG_ROWS)
+    rows_of = LONG_ROWS
+    while n_bands * rows_of > LONG_COORDINATES:  # a low threshold: shorter bands
+        rows_of -= 1
+        n_bands = bands_needed(share, rows_of)
+    mine = cut(skew_join(members, over, ["key"], "members"))
+    rest = members.join(F.broadcast(over.select("key")) if over.count() <= BROADCAST_ROWS else over.select("key"), "key", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "text")):
+            reps, keep = batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"))
+            long = [(rep, band) for rep, own in zip(reps, keep, strict=True) if len(own) for band in banded(signature(own, n_bands * rows_of), n_bands, rows_of).tolist()]
+            yield pa.RecordBatch.from_pydict({"rep": pa.array([x[0] for x in long], pa.int64()), "band": pa.array([x[1] for x in long], pa.int64())})
+
+    wanted = mine.select("rep").distinct()
+    bands = in_batches(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), run, "rep long, band long").distinct()
+    again = mine.join(bands, "rep").select(F.xxhash64("key", "band").alias("key"), "rep", "component", "n").distinct()
+    return cut(rest.select("key", "rep", "component", "n").unionByName(again))
+
+
+def compared(members: DataFrame, docs: DataFrame, share: int, exact: bool = False) -> DataFrame:
+    """Links (a, b) between members of one key but different components.
+
+    ``members``: key, rep, component, n (a computed table).  Of each key, those outside its largest
+    component are asked (every pair of components has one of them) against all members, in blocks
+    of a lot of the one and a lot of the other.  ``exact``: no pair is left out by its signatures' estimate, and no key dealt out again.
+    """
+    n = parts(members.sparkSession)
+    least = -1.0 if exact else least_estimate(share)
+    keys = _lots(members)
+    if not exact:
+        members = _redealt(members, keys, docs, share)
+        keys = _lots(members)
+    rows = skew_join(members, keys, ["key"], "members")
     asked = rows.where("component <> main").withColumn("q", F.expr("cast(pmod(xxhash64(rep), asked_lots) as int)")).withColumn("r", F.explode(F.expr("sequence(0, all_lots - 1)"))).withColumn("role", F.lit(0))
     against = rows.withColumn("r", F.expr("cast(pmod(xxhash64(rep, 1), all_lots) as int)")).withColumn("q", F.explode(F.expr("sequence(0, asked_lots - 1)"))).withColumn("role", F.lit(1))
     wanted = ["key", "q", "r", "role", "rep", "component"]
-    roles = cut(_few(asked.select(*wanted).unionByName(against.select(*wanted))))
+    roles = cut(_few(asked.unionByName(against).select(*wanted, (F.col("all_lots") > 1).alias("blocks"))))
+    if not exact and roles.where("blocks").limit(1).count():
+        roles = cut(_few(roles.where("not blocks").select(*wanted).unionByName(_near(roles.where("blocks").select(*wanted), docs, least))))
+    roles = roles.select(*wanted)
     if roles.count() <= BROADCAST_ROWS:
         roles = F.broadcast(roles)
     rows = docs.join(roles, docs["doc_id"] == roles["rep"]).select(*wanted, "text")
@@ -189,12 +256,14 @@ def compared(members: DataFrame, docs: DataFrame, share: int) -> DataFrame:
             for key, q, r, role, rep, component, own in zip(*columns, shingle_sets(batch.column("text")), strict=True):
                 if (key, q, r) != block:
                     block, asked, table, done = (key, q, r), [], None, set()
+                if not len(own):
+                    continue
                 if role == 0:
                     asked.append((rep, component, own, signature(own)))
                     continue
                 if table is None:
                     table = np.array([x[3] for x in asked]).reshape(len(asked), COORDINATES)
-                near = np.flatnonzero(np.count_nonzero(table == signature(own), axis=1) >= LEAST_ESTIMATE * COORDINATES) if len(own) and len(asked) else []
+                near = np.flatnonzero(np.count_nonzero(table == signature(own), axis=1) >= least * COORDINATES) if len(asked) else []
                 for i in near:
                     other, its, theirs, _ = asked[i]
                     # one link between a document and a component is enough
@@ -207,6 +276,55 @@ def compared(members: DataFrame, docs: DataFrame, share: int) -> DataFrame:
     return cut(_few(in_batches(rows, check, "a long, b long").distinct()))
 
 
+def _near(roles: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The roles of members that have, in their block, a signature of another component near theirs.
+
+    Each signature is computed once; blocks get signatures (1 kB), not texts.
+    """
+    n, wanted = parts(roles.sparkSession), ["key", "q", "r", "role", "rep", "component"]
+    reps = roles.select("rep").distinct()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in slices(b, "text")):
+            signed = [(rep, signature(own).tobytes()) for rep, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True) if len(own)]
+            yield pa.RecordBatch.from_pydict({"rep": pa.array([x[0] for x in signed], pa.int64()), "signature": pa.array([x[1] for x in signed], pa.binary())})
+
+    signed = cut(in_batches(docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi"), sign, "rep long, signature binary"))
+    rows = roles.join(signed, "rep").select(*wanted, "signature").repartition(n, "key", "q", "r").sortWithinPartitions("key", "q", "r", "role", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names, table, of, hit = None, [], None, None, None
+        kinds = pa.schema([("key", pa.int64()), ("q", pa.int32()), ("r", pa.int32()), ("role", pa.int32()), ("rep", pa.int64()), ("component", pa.int64())])
+
+        def told(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kinds.field(i).type) for i in range(6)], schema=kinds)
+
+        def asked_hits() -> list:
+            return [(*block, 0, *names[i]) for i in np.flatnonzero(hit).tolist()] if hit is not None else []
+
+        for batch in batches:
+            out = []
+            for key, q, r, role, rep, component, s in zip(*(batch.column(c).to_pylist() for c in [*wanted, "signature"]), strict=True):
+                if (key, q, r) != block:
+                    out += asked_hits()
+                    block, names, table, hit = (key, q, r), [], [], None
+                own = np.frombuffer(s, np.uint32)
+                if role == 0:
+                    names.append((rep, component))
+                    table.append(own)
+                    continue
+                if hit is None:
+                    table, of, hit = np.array(table).reshape(len(names), COORDINATES), np.array([x[1] for x in names], np.int64), np.zeros(len(names), bool)
+                near = (np.count_nonzero(table == own, axis=1) >= least * COORDINATES) & (of != component)
+                if near.any():
+                    hit |= near
+                    out.append((key, q, r, 1, rep, component))
+            yield told(out)
+        yield told(asked_hits())
+
+    return in_batches(rows, run, "key long, q int, r int, role int, rep long, component long").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
     """Of distinct pairs (a, b) of doc_ids (a computed table), those whose full sets have ``share`` percent in common.
 
@@ -288,10 +406,11 @@ def _stars(edges: DataFrame) -> DataFrame:
     edges, state = cut(edges), None
     while True:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.explode(F.expr("array(struct(v as u, m as v), struct(u as u, m as v))")).alias("e")).select("e.u", "e.v")
+        # in the end all edges of a component share its least node
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k")))
+        large = cut(skew_join(both, least, ["u"], "k").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
+        moved = skew_join(large, least, ["u"], "k").select(F.explode(F.expr("array(struct(v as u, m as v), struct(u as u, m as v))")).alias("e")).select("e.u", "e.v")
         edges = cut(moved.where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -321,23 +440,24 @@ def _families(rows: DataFrame) -> DataFrame:
     return cut(rows.select(F.col("bucket").alias("key"), "rep", "component", "n").distinct())
 
 
-def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Documents are linked if their shingle sets have at least ``share`` percent of their union
-    in common; component_id is the least doc_id that links reach.
+    in common; component_id is the least doc_id that links reach.  Bands and estimates follow from ``share``; ``exact`` confirms
+    candidates without looking at their estimate.
 
     Edge cases: a text without words (or null) has an empty set and no link; a row without
     a doc_id is linked with nothing, has no component and is kept; rows that share a
     doc_id are one document and are linked; an empty table gives an empty result; other
-    columns are ignored.  A ``share`` under ``LEAST_SHARE`` is refused, as links would be missed.
+    columns are ignored.  A ``share`` for which no banding exists (under 11) is refused.
     """
-    if share < LEAST_SHARE:
-        raise ValueError(f"share is {share}; bands and estimates find links from {LEAST_SHARE} percent only")
+    banding(share)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = cut(signatures(docs))
+    signed = cut(signatures(docs, share))
     linked = signed.where("doc_id is not null and n_shingles > 0")
-    sets = cut(linked.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    sets = linked.groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    sets = cut(sets)
 
     tried = links = labels = rows = None
     yields = 1.0
@@ -348,10 +468,11 @@ def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text:
             dealt = _labelled(sets.select("rep", "n", bands.alias("bands")), labels).select("rep", "n", "component", F.explode("bands").alias("bucket"))
         else:
             dealt = _labelled(rows.select("rep", "n", "bucket"), labels)
-        open_ = cut(dealt.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket"))
+        open_ = cut(dealt.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("members")).where("x < y").select("bucket", "members"))
         if open_.count() <= BROADCAST_ROWS:
-            open_ = F.broadcast(open_)
-        rows = cut(dealt.join(open_, "bucket"))
+            rows = cut(dealt.join(F.broadcast(open_.select("bucket")), "bucket"))
+        else:
+            rows = cut(skew_join(dealt, open_, ["bucket"], "members"))
         # How many pairs between components are left, counted over buckets.
         sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
         left = sizes.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("m"), F.lit(0)).alias("rows")).first()
@@ -361,14 +482,14 @@ def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text:
             continue
         last = step and (step == HUB_ROUNDS or left["pairs"] <= 4 * left["rows"] or yields < LEAST_YIELD)
         if last:
-            new = compared(_families(rows), docs, share)
+            new = compared(_families(rows), docs, share, exact)
             links = new if links is None else links.unionByName(new)
             labels = components(links)
             break
         # One hub a bucket, and of its buckets' hubs each member meets one.
         order = F.col("rep") if step == 0 else F.xxhash64("rep", F.lit(step))
-        hubs = rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("h")).select("bucket", "h")
-        pairs = rows.join(hubs, "bucket").where("component <> h.component").groupBy("rep").agg(F.min("h.rep").alias("a")).select("a", F.col("rep").alias("b"))
+        hubs = cut(rows.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), order).alias("h"), F.count(F.lit(1)).alias("members")))
+        pairs = skew_join(rows, hubs, ["bucket"], "members").where("component <> h.component").groupBy("rep").agg(F.min("h.rep").alias("a")).select("a", F.col("rep").alias("b"))
         # a pair may come from several buckets, either way round; a stays the hub
         pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).dropDuplicates(["x", "y"])
         if tried is not None:
@@ -380,14 +501,14 @@ def near_duplicates(docs: DataFrame, share: int = 75, key: str = "doc_id", text:
         labels = components(links)
         yields = new.count() / max(1, pairs.count())
 
-    result = signed.select("doc_id", "n_shingles", "low", "high").join(sets.select("low", "high", "rep"), ["low", "high"], "left")
     # rows that share a doc_id but not a text are one document
-    twice = linked.groupBy("doc_id").agg(F.countDistinct("low", "high").alias("k")).where("k > 1").select("doc_id")
-    own = result.join(twice, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    links = own if links is None else links.unionByName(own)
-    if labels is None or own.limit(1).count():
-        labels = components(links)
-    result = result.join(labels, result["rep"] == labels["node"], "left")
-    linked_row = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    component = F.when(linked_row, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    several = cut(_few(linked.groupBy("doc_id").agg(F.countDistinct("low", "high").alias("k")).where("k > 1").select("doc_id")))
+    if several.limit(1).count():
+        own = linked.join(several, "doc_id", "left_semi").select("doc_id", "low", "high").distinct().join(sets.select("low", "high", "rep"), ["low", "high"])
+        own = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+        labels = components(own if links is None else links.unionByName(own))
+    # What is known of a set goes to all its copies, however many they are.
+    known = cut(_labelled(sets.select("low", "high", "rep", "copies"), labels).select("low", "high", "component", "copies"))
+    out = skew_join(linked.select("doc_id", "n_shingles", "low", "high"), known, ["low", "high"], "copies").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    others = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(others).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -490,10 +490,11 @@ def test_components_equal_brute_force(spark):
         check_components(rows(entry_queries.op8_near_duplicates(spark, sf)), {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()})
 
 
-@pytest.mark.parametrize(("lot", "most", "rounds"), [(1000, 10**10, 4), (3, 10**10, 1), (7, 0, 1)])
-def test_large_groups_chains_and_hubs(spark, monkeypatch, lot, most, rounds):
+@pytest.mark.parametrize(("lot", "most", "rounds", "blocks", "exact"), [(1000, 10**10, 4, 64, False), (3, 10**10, 1, 64, False), (7, 0, 1, 64, False), (3, 10**10, 1, 1, False), (7, 0, 1, 1, False), (3, 0, 1, 1, True)])
+def test_large_groups_chains_and_hubs(spark, monkeypatch, lot, most, rounds, blocks, exact):
     """A group of near copies whose least id links to few of them, a chain, exact copies, a common passage."""
     monkeypatch.setattr(circulant_dedup, "LOT", lot)
+    monkeypatch.setattr(circulant_dedup, "MOST_BLOCKS", blocks)
     monkeypatch.setattr(circulant_dedup, "MOST_ESTIMATES", most)
     monkeypatch.setattr(circulant_dedup, "HUB_ROUNDS", rounds)
     rng = random.Random(7)
@@ -531,9 +532,63 @@ def test_large_groups_chains_and_hubs(spark, monkeypatch, lot, most, rounds):
     rng.shuffle(ids)
     texts = {i: t for i, t in zip(ids, texts.values())}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_components(rows(circulant_dedup.near_duplicates(df, exact=exact)), texts)
+
+
+@pytest.mark.parametrize("share", [30, 50, 75, 90, 100])
+def test_links_at_any_threshold_are_found(spark, share):
+    """Pairs on both sides of the threshold, close to it: every link, and nothing else."""
+    rng = random.Random(share)
+    texts, n = {}, 400
+    for i in range(150):
+        base = [f"w{rng.randint(0, 10**9)}" for _ in range(n + 4)]
+        j = min(1.0, max(0.05, share / 100 + rng.uniform(-0.12, 0.06)))  # the tail is another one: Jaccard about j
+        keep = round(n * 2 * j / (1 + j))
+        texts[2 * i] = " ".join(base)
+        texts[2 * i + 1] = " ".join(base[: keep + 4] + [f"x{rng.randint(0, 10**9)}" for _ in range(n - keep)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(circulant_dedup.near_duplicates(df, share=share))}
+    want = plain_components(texts, share)
+    assert got == want and 10 < sum(c == d for d, (_, c) in want.items()) <= 300
+
+
+def test_bands_follow_from_the_threshold():
+    assert circulant_dedup.banding(75) == (26, 3)
+    for share in range(11, 101):
+        bands, rows_of = circulant_dedup.banding(share)
+        assert bands * rows_of <= circulant_dedup.MOST_COORDINATES and (1 - (share / 100) ** rows_of) ** bands <= 1e-6
+
+
+def test_unlike_members_of_one_bucket_are_dealt_out_again(spark, monkeypatch):
+    """Documents that share a long passage and nothing else: no text goes to a block, and the few links among them are found."""
+    monkeypatch.setattr(circulant_dedup, "LOT", 50)
+    monkeypatch.setattr(circulant_dedup, "MOST_BLOCKS", 4)
+    rng = random.Random(31)
+    common = [f"c{k}" for k in range(100)]
+    texts = {i: " ".join(common + [f"w{rng.randint(0, 10**9)}" for _ in range(100)]) for i in range(600)}
+    for i in range(600, 620):
+        texts[i] = texts[i - 600] + " one more end of it"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    members = frames.cut(spark.createDataFrame([(1, i, i, 196) for i in texts], "key long, rep long, component long, n long"))
+    keys = circulant_dedup._lots(members)
+    dealt = circulant_dedup._redealt(members, keys, df, 75).groupBy("key").count()
+    assert (dealt.agg(F.max("count")).first()[0] or 0) < 300  # of 620
+    links = circulant_dedup.compared(members, df, 75)
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} >= {(i, i + 600) for i in range(20)}
+    monkeypatch.setattr(circulant_dedup, "MOST_BLOCKS", 10**9)
+    roles = spark.createDataFrame([(1, 0, 0, role, i, i) for i in texts for role in (0, 1)], "key long, q int, r int, role int, rep long, component long")
+    assert {r.rep for r in circulant_dedup._near(roles, df, circulant_dedup.least_estimate(75)).collect()} == {*range(20), *range(600, 620)}
     check_components(rows(circulant_dedup.near_duplicates(df)), texts)
 
 
+def test_a_value_of_many_rows_is_joined_by_broadcast(spark):
+    rows_ = frames.cut(spark.createDataFrame([(None if i % 10 == 9 else i % 7 if i % 3 else 0, i) for i in range(200)], "k long, i long"))
+    table = frames.cut(rows_.where("k is not null").groupBy("k").agg(F.max("i").alias("v"), F.count(F.lit(1)).alias("m")))
+    want = sorted(tuple(r) for r in rows_.join(table, "k").select("k", "i", "v").collect())
+    for hot in (1, 5, 10_000):
+        assert sorted(tuple(r) for r in frames.skew_join(rows_, table, ["k"], "m", hot).select("k", "i", "v").collect()) == want
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_components_of_a_path(spark, monkeypatch, most):
     monkeypatch.setattr(circulant_dedup, "ONE_TASK_LINKS", most)
@@ -591,8 +646,9 @@ def test_token_files(spark, docs, odd, none, monkeypatch):
 
 
 def test_near_duplicates_refuse_a_share_that_bands_would_miss(none):
-    with pytest.raises(ValueError, match="75"):
-        circulant_dedup.near_duplicates(none, share=60)
+    for share in (0, 5, 101):
+        with pytest.raises(ValueError):
+            circulant_dedup.near_duplicates(none, share=share)
 
 
 # -- pipeline ----------------------------------------------------------------------------
