@@ -44,7 +44,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: concentration steps at most, where a start takes up to ten or so.
 SHARE, STEPS = 0.5, 50
 #: A start has converged when the logarithm of the determinant falls by less.
-FALL = 1e-6
+FALL = 1e-3
 #: Groups with fewer documents are judged with all documents of their language.
 LEAST_GROUP = 50
 FEATURES = ("f_length", "f_variety", "f_capitals", "f_marks", "f_symbols")
@@ -59,7 +59,7 @@ REWEIGHT, LEVEL = 0.975, 0.99999
 #: joined by a shuffle, each in so many lots, so that a large group has many tasks.
 BROADCAST_GROUPS, LOTS = 10_000, 64
 #: Width of the bins from which quantiles are read: of statistics, of logarithms of distances.
-FINE, BIN = 1 / 2048, 1 / 64
+FINE, BIN = 1 / 2048, 1 / 16
 #: Characters of a word, and marks in it, count up to so many (a link or a key is one odd word, not many).
 LONG_WORD, MARKED = 20, 2
 
@@ -367,11 +367,17 @@ def estimates(rows: DataFrame, few: bool = False) -> DataFrame:
     return cut(best.select("grp", "logdet").join(last, "grp").join(middle, "grp"))
 
 
+def group_of(by: list[str]) -> Column:
+    """The name of a row's group."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in by])
+
+
 def judge(docs: DataFrame, by: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Base rules and the robust verdict on every document.
 
     Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    distance (squared; null where none is taken), grp, and ``_hash`` of the text.
+    distance (squared; null where none is taken), grp (by which it is judged), ``_narrow`` (its own, as :func:`group_of`
+    names it), and ``_hash`` of the text.
 
     ``by``: the first column is the wider group (language), all of them the group.
     Only documents that pass the base rules are used for the estimate.  A group of fewer than
@@ -382,8 +388,7 @@ def judge(docs: DataFrame, by: list[str], key: str = "doc_id", text: str = "text
     of their own; null and repeated keys are kept as they are; an empty table gives an
     empty result; other columns are ignored.
     """
-    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in by]
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), named[0].alias("_wide"), F.concat_ws("|", *named).alias("_narrow"), F.xxhash64(text).alias("_hash"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text"), group_of(by[:1]).alias("_wide"), group_of(by).alias("_narrow"), F.xxhash64(text).alias("_hash"))
     rows = statistics(rows).withColumns(features(dithered(F.coalesce("_hash", F.lit(0)))))
     rows = rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     rows = cut(rows.drop("n_distinct", "n_capitals", "n_marks", "n_short_chars"))
@@ -407,5 +412,5 @@ def judge(docs: DataFrame, by: list[str], key: str = "doc_id", text: str = "text
         F.col("_key").alias(key),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept"),
-        "distance", "grp", "_hash",
+        "distance", "grp", "_narrow", "_hash",
     )
