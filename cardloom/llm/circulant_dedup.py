@@ -197,6 +197,14 @@ def _lots(members: DataFrame) -> DataFrame:
     return cut(_few(keys.select("key", F.col("component").alias("main"), F.expr(lots % ("m", "w")).alias("all_lots"), F.expr(lots % ("(m - tm)", "(w - tw)")).alias("asked_lots"), F.col("m").alias("members"))))
 
 
+def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The documents whose ids are among the reps of ``members``."""
+    reps = cut(_few(members.select("rep").distinct()))
+    if reps.count() <= BROADCAST_ROWS:
+        reps = F.broadcast(reps)
+    return docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi")
+
+
 def _redealt(members: DataFrame, keys: DataFrame, docs: DataFrame, share: int) -> DataFrame:
     """Members of overfull keys under new keys, one for each long band they share within their key; the others as they are."""
     over = keys.where(F.col("all_lots") * F.col("asked_lots") > MOST_BLOCKS).select("key", "members")
@@ -216,8 +224,7 @@ def _redealt(members: DataFrame, keys: DataFrame, docs: DataFrame, share: int) -
             long = [(rep, band) for rep, own in zip(reps, keep, strict=True) if len(own) for band in banded(signature(own, n_bands * rows_of), n_bands, rows_of).tolist()]
             yield pa.RecordBatch.from_pydict({"rep": pa.array([x[0] for x in long], pa.int64()), "band": pa.array([x[1] for x in long], pa.int64())})
 
-    wanted = mine.select("rep").distinct()
-    bands = in_batches(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi"), run, "rep long, band long").distinct()
+    bands = in_batches(_texts_of(docs, mine), run, "rep long, band long").distinct()
     again = mine.join(bands, "rep").select(F.xxhash64("key", "band").alias("key"), "rep", "component", "n").distinct()
     return cut(rest.select("key", "rep", "component", "n").unionByName(again))
 
@@ -282,14 +289,13 @@ def _near(roles: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     Each signature is computed once; blocks get signatures (1 kB), not texts.
     """
     n, wanted = parts(roles.sparkSession), ["key", "q", "r", "role", "rep", "component"]
-    reps = roles.select("rep").distinct()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for b in batches for part in slices(b, "text")):
             signed = [(rep, signature(own).tobytes()) for rep, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True) if len(own)]
             yield pa.RecordBatch.from_pydict({"rep": pa.array([x[0] for x in signed], pa.int64()), "signature": pa.array([x[1] for x in signed], pa.binary())})
 
-    signed = cut(in_batches(docs.join(reps, docs["doc_id"] == reps["rep"], "left_semi"), sign, "rep long, signature binary"))
+    signed = cut(in_batches(_texts_of(docs, roles), sign, "rep long, signature binary"))
     rows = roles.join(signed, "rep").select(*wanted, "signature").repartition(n, "key", "q", "r").sortWithinPartitions("key", "q", "r", "role", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
