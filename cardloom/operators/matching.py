@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import text
 
+#: Fixed value: the least score of a match.
 THRESHOLD = 70.0
 #: The distinct names that queries are matched against are broadcast up to so many.
 BROADCAST_NAMES = 100_000

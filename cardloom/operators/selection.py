@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import operator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.functions import names
@@ -33,9 +36,12 @@ def siblings(card: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def sibling_count(catalog: DataFrame) -> DataFrame:
-    """How many other files each file's character has."""
-    w = Window.partitionBy("pool", "series", "character")
-    return catalog.withColumn("others", F.count(F.lit(1)).over(w) - 1)
+    """How many other files each file's character has: counts with partial sums, joined to the files."""
+    by = ["pool", "series", "character"]
+    counts = catalog.groupBy(*by).agg((F.count(F.lit(1)) - 1).alias("others"))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], "others")
+    on = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return catalog.join(counts, on).drop(*[f"_{c}" for c in by])
 
 
 def not_renamed(files: DataFrame, renames: DataFrame) -> DataFrame:

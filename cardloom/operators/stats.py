@@ -17,11 +17,11 @@ def series_stats(catalog: DataFrame, by: list[str] | None = None) -> DataFrame:
     underscore stands in the extension.
     """
     by = by or ["pool"]
-    listed = names.is_listed(F.col("file_name"))
-    has_series = names.underscores(F.col("stem")) >= 1
-    totals = catalog.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    grouped = catalog.where(listed & has_series).groupBy(*by, "series").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("character").alias("characters"))
-    out = grouped.join(totals, by)
+    listed = names.is_listed(F.col("file_name")) & (names.underscores(F.col("stem")) >= 1)
+    # one pass over the catalogue: a row for each character, from which items, characters and totals follow
+    each = catalog.groupBy(*by, "series", "character").agg(F.count_if(listed).alias("_listed"), F.count(F.lit(1)).alias("_all"))
+    grouped = each.groupBy(*by, "series").agg(F.sum("_listed").alias("items"), F.count_if((F.col("_listed") > 0) & F.col("character").isNotNull()).alias("characters"), F.sum("_all").alias("_all"))
+    out = grouped.withColumn("_total", F.sum("_all").over(Window.partitionBy(*by))).where("items > 0")
     share = F.round(100.0 * F.col("items") / F.col("_total"), 6)
     skins = F.round(F.when(F.col("characters") > 0, F.col("items") / F.col("characters")).otherwise(0.0), 6)
     return out.select(*by, "series", "items", "characters", share.alias("share"), skins.alias("avg_skins"))

@@ -57,17 +57,8 @@ def underscore_filter(spark, sf_dir):
     return table(spark, sf_dir, "part").where(names.is_listed(name)).select(F.col("p_partkey").alias("item_id"))
 
 
-@query(_NAMED + """SELECT a.item_id AS a, b.item_id AS b FROM named a JOIN named b ON a.series = b.series AND a."character" = b."character" WHERE a.item_id < b.item_id AND a.item_id < 100""")
-def two_part_key_match(spark, sf_dir):
-    """Pairs of files of one character, from the first hundred items."""
-    a, b = catalog(spark, sf_dir).where("item_id < 100").alias("a"), catalog(spark, sf_dir).alias("b")
-    on = [names.two_part(F.col("a.stem")) == names.two_part(F.col("b.stem"))]
-    joined = a.join(b, on).where("a.item_id < b.item_id").where(names.same_character(F.col("a.stem"), F.col("b.stem")))
-    return joined.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"))
-
-
 @query(_NAMED + """SELECT a.item_id AS a, b.item_id AS b FROM named a JOIN named b ON a.series = b.series AND a."character" = b."character" WHERE a.item_id < b.item_id""")
-def two_part_key_pairs(spark, sf_dir):
+def two_part_key_match(spark, sf_dir):
     """Pairs of files of one character, from all items."""
     a, b = catalog(spark, sf_dir).alias("a"), catalog(spark, sf_dir).alias("b")
     on = [names.two_part(F.col("a.stem")) == names.two_part(F.col("b.stem"))]
@@ -202,12 +193,17 @@ def sibling_count(spark, sf_dir):
     return selection.sibling_count(catalog(spark, sf_dir)).select("item_id", "others")
 
 
-@query(_NAMED + "SELECT pool, item_id FROM named WHERE pool = 'A' AND item_id % 5 = 0 UNION ALL SELECT pool, item_id FROM named WHERE pool = 'B' AND item_id % 7 = 0")
+_VOTED = """voted AS (SELECT DISTINCT split_part(card, '_', 1) AS series, split_part(card, '_', 2) AS "character" FROM draws WHERE pool = 'A')"""
+
+
+@query(f"""WITH {CATALOG_SQL}, {DRAWS_SQL}, {_VOTED}, a AS (SELECT n.pool, n.item_id FROM named n JOIN voted v ON n.series = v.series AND n."character" = v."character" WHERE n.pool = 'A'),
+b AS (SELECT n.pool, n.item_id FROM named n JOIN voted v ON n.series = v.series AND n."character" = v."character" WHERE n.pool = 'B') SELECT * FROM b UNION ALL SELECT * FROM a""")
 def pool_union_match(spark, sf_dir):
-    """Matches of both pools in one bag."""
-    items = catalog(spark, sf_dir)
-    a, b = items.where("pool = 'A' and item_id % 5 = 0"), items.where("pool = 'B' and item_id % 7 = 0")
-    return a.unionByName(b).select("pool", "item_id")
+    """Files of the characters that were drawn from pool A, in either pool, in one bag."""
+    keys = draws(spark, sf_dir).where("pool = 'A'").select(names.two_part(F.col("card")).alias("_id")).distinct()
+    items = catalog(spark, sf_dir).withColumn("_id", names.two_part(F.col("stem")))
+    matched = [items.where(F.col("pool") == p).join(keys, "_id", "left_semi") for p in ("B", "A")]
+    return matched[0].unionByName(matched[1]).select("pool", "item_id")
 
 
 # -- aliases and fuzzy matching ---------------------------------------------------
@@ -232,10 +228,15 @@ def alias_normalise(spark, sf_dir):
 
 
 _TYPED = ["red widgt", "gold bolt", "zzzzzz", "hot ring", "anvil", "small ring x"]
+#: Windows of the shorter string's length: of names that score at least the threshold one of them has the score.
 _FUZZY = f"""WITH q AS (SELECT unnest([{', '.join(map(repr, _TYPED))}]) AS query), n AS (SELECT DISTINCT p_name AS name FROM part),
 s AS (SELECT query, name, CASE WHEN length(query) <= length(name) THEN query ELSE name END AS a, CASE WHEN length(query) <= length(name) THEN name ELSE query END AS b FROM q, n),
-scored AS (SELECT query, name, round(100.0 * (1 - list_min(list_transform(range(1, length(b) - length(a) + 2), lambda i: levenshtein(substr(b, i, length(a)), a))) / length(a))
-  + CASE WHEN length(name) > length(query) AND contains(name, query) THEN 10.0 ELSE 0.0 END, 6) AS score FROM s)"""
+w AS (SELECT query, name, a, substr(b, i, length(a)) AS x FROM (SELECT *, unnest(range(1, length(b) - length(a) + 2)) AS i FROM s)),
+m AS (SELECT query, name, length(a) AS n, CAST((1::HUGEINT << length(a)) - 1 AS HUGEINT) AS whole,
+  list_transform(string_split(x, ''), lambda c: list_sum(list_transform(range(1, length(a) + 1), lambda p: CASE WHEN substr(a, p, 1) = c THEN 1::HUGEINT << (p - 1) ELSE 0::HUGEINT END))) AS places FROM w),
+r AS (SELECT query, name, n, list_reduce(list_concat([whole], list_transform(places, lambda p: CAST(p AS HUGEINT))), lambda v, p: ((v + (v & p)) | (v & xor(whole, v & p))) & whole) AS v FROM m),
+scored AS (SELECT query, name, CASE WHEN max(ratio) > 0.995 THEN 100 ELSE round_even(100 * max(ratio), 0) END + CASE WHEN length(name) > length(query) AND contains(name, query) THEN 10.0 ELSE 0.0 END AS score
+  FROM (SELECT query, name, 1.0::DOUBLE * (n - bit_count(v)) / n AS ratio FROM r) GROUP BY query, name)"""
 
 
 def _typed(spark):
@@ -246,8 +247,9 @@ def _part_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
 
 
-@query(_FUZZY + " SELECT query, name, score FROM scored")
+@query()
 def fuzzy_scores(spark, sf_dir):
+    """The score of each typed name with each name of the library."""
     return matching.scores(_typed(spark), _part_names(spark, sf_dir)).select("query", "name", "score")
 
 
@@ -257,6 +259,20 @@ def fuzzy_top1(spark, sf_dir):
     return matching.best_match(_typed(spark), _part_names(spark, sf_dir))
 
 
+#: Pairs with scores worked out by hand from the definition.
+_BY_HAND = [
+    ("abcd", "abxcd", 75.0), ("abc", "xabcx", 110.0), ("abc", "abc", 100.0), ("abc", "abd", 67.0), ("abcdef", "abc", 100.0), ("ab", "xayb", 50.0), ("kitten", "sitting", 67.0),
+    ("abcd", "dcba", 25.0), ("xyz", "abc", 0.0), ("hot ring", "hot rings", 110.0), ("hot rimg", "hot ring", 88.0), ("ring hot", "hot ring", 50.0), ("old rod", "cold rod", 110.0), ("red widgt", "red widget", 89.0),
+]
+
+
+@query("SELECT unnest([" + ", ".join(repr(q) for q, _, _ in _BY_HAND) + "]) AS query, unnest([" + ", ".join(repr(n) for _, n, _ in _BY_HAND) + "]) AS name, unnest([" + ", ".join(f"{s}::DOUBLE" for _, _, s in _BY_HAND) + "]) AS score")
+def fuzzy_pairs(spark, sf_dir):
+    """Scores of pairs that were worked out by hand."""
+    pairs = spark.createDataFrame([(q, n) for q, n, _ in _BY_HAND], "query string, name string")
+    return pairs.select("query", "name", text.similarity(F.col("query"), F.col("name")).alias("score"))
+
+
 # -- renames ------------------------------------------------------------------
 
 

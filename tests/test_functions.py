@@ -66,9 +66,44 @@ def test_between_and_target(spark):
 
 
 def test_similarity(spark):
-    rows = [("abc", "abc"), ("abc", "xabcx"), ("abc", "abd"), ("", "abc"), ("abcdef", "abc")]
+    # worked out by hand: twice the common subsequence by both lengths, in the window that a kept run aligns
+    rows = [("abc", "abc"), ("abc", "xabcx"), ("abc", "abd"), ("", "abc"), ("abcdef", "abc"), ("abcd", "abxcd"), ("abc", None), ("ab", "xayb"), ("kitten", "sitting"), ("abcd", "dcba"), ("xyz", "abc")]
     got = values(spark, rows, text.similarity(F.col("a"), F.col("b")))
-    assert got == pytest.approx([100, 110, 100 * 2 / 3, 10, 100])
+    # abcd/abxc 6/8; ab/yb or ab/xa 2/4; kitten/sittin 4 of 6 and 6: itt.n; abcd/dcba one letter
+    assert got == [100, 110, 67, 10, 100, 75, None, 50, 67, 25, 0]
+
+
+def test_blocks_are_those_of_a_least_edit_path():
+    import random
+
+    rng = random.Random(4)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            before, row = row, [i]
+            for j, d in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    assert text.matching_blocks("abcd", "abxcd") == [(0, 0, 2), (2, 3, 2), (4, 5, 0)]
+    assert text.matching_blocks("ab", "xayb") == [(0, 1, 1), (1, 3, 1), (2, 4, 0)]
+    for _ in range(500):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 8))) for _ in range(2))
+        blocks = text.matching_blocks(a, b)
+        cost, i, j = 0, 0, 0
+        for x, y, n in blocks:
+            assert a[x : x + n] == b[y : y + n] and x >= i and y >= j
+            cost += max(x - i, y - j)
+            i, j = x + n, y + n
+        assert cost == distance(a, b)
+        lcs = len(a) + len(b)
+        if a and b:
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for p, c in enumerate(a):
+                for q, d in enumerate(b):
+                    table[p + 1][q + 1] = table[p][q] + 1 if c == d else max(table[p][q + 1], table[p + 1][q])
+            assert text.common_ratio(a, b) == 2 * table[-1][-1] / lcs
 
 
 def test_commands(spark):

@@ -19,10 +19,17 @@ def test_pairs_of_one_character_come_from_all_items(spark):
     for r in items:
         by_character.setdefault((r.series, r.character), []).append(r.item_id)
     want = [(a, b) for ids in by_character.values() for a in ids for b in ids if a < b]
-    got = [tuple(r) for r in plans.QUERIES["two_part_key_pairs"](spark, f"{DATA}/sf0.01").select("a", "b").collect()]
+    got = [tuple(r) for r in plans.QUERIES["two_part_key_match"](spark, f"{DATA}/sf0.01").select("a", "b").collect()]
     assert sorted(got) == sorted(want) and any(a >= 100 for a, _ in got)
 
 
+def test_fuzzy_scores_equal_plain_ones(spark):
+    from cardloom.functions import text
+
+    got = plans.QUERIES["fuzzy_scores"](spark, f"{DATA}/sf0.001").collect()
+    assert len(got) > 300 and all(r.score == text.score(r["query"], r["name"]) for r in got)
+
+
 def test_history_json_holds_the_list(spark):
     rows = plans.QUERIES["history_json"](spark, f"{DATA}/sf0.001").collect()
     lists = {(r.user_id, r.pool): r for r in plans.QUERIES["history_list"](spark, f"{DATA}/sf0.001").collect()}
