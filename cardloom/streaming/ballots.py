@@ -1,8 +1,9 @@
 """Ballots as a stream: the batch rules of :mod:`cardloom.operators.ballots`, one state for each ballot.
 
-A ballot opens with its first event and closes ``seconds`` later by an event-time timer, or at once with a
-vote for or against by its owner or a superuser.  State is cleared when the result goes out, and a marker keeps it from
-opening again.
+A ballot opens with its earliest event and closes ``seconds`` later, or with a vote for or against by its owner or
+a superuser.  Both are event-time timers: a result goes out when the watermark has passed the time that decides it, so a
+vote that comes late, but before the watermark, still counts, in whatever batch.  State is cleared when the result goes
+out, and a marker keeps the ballot from opening again.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ def decide(agree: int, disagree: int, decision: str | None) -> str:
     return "remove" if remove else "keep"
 
 
+def _micros(ts) -> int:
+    return int(ts.timestamp()) * 1_000_000 + ts.microsecond
+
+
 class BallotProcessor(StatefulProcessor):
-    """Input rows: ballot, owner, voter, choice, ts, seq; they may come in any order before the timer.
+    """Input rows: ballot, owner, voter, choice, ts, seq; they may come in any order before the watermark.
 
-    Votes are kept by voter (their earliest only) until the ballot closes, as a later batch can hold an
-    earlier vote.
+    Votes are kept by voter (their earliest only) until the ballot closes.
     """
 
     def __init__(self, seconds: int, superusers: list[int]):
@@ -43,18 +47,23 @@ class BallotProcessor(StatefulProcessor):
         self.meta = handle.getValueState("meta", "owner long, opened long, closed boolean")
         self.votes = handle.getMapState("votes", "voter long", "ts long, seq long, choice string")
 
+    def _decides(self, owner: int, voter: int, choice: str) -> bool:
+        return choice != "abstain" and (voter == owner or voter in self.superusers)
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        """Keep each voter's first vote; the first event opens the ballot and sets its timer."""
+        """Keep each voter's first vote; set timers for the end and for each vote that may decide before it."""
         meta = self.meta.get() if self.meta.exists() else None
         if meta and meta[2]:
             return
+        owner, opened = (meta[0], meta[1]) if meta else (None, None)
+        alarms = set()
         for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
-            micros = int(row.ts.timestamp()) * 1_000_000 + row.ts.microsecond
-            if meta is None:
-                meta = (row.owner, micros, False)
-                self.meta.update(meta)
-                self.handle.registerTimer((micros + self.seconds * 1_000_000 + 999) // 1000)
-            if row.choice is None or not meta[1] <= micros < meta[1] + self.seconds * 1_000_000:
+            micros = _micros(row.ts)
+            owner = row.owner if owner is None else owner
+            if opened is None or micros < opened:
+                opened = micros
+                alarms.add((opened + self.seconds * 1_000_000 + 999) // 1000)
+            if row.choice is None:
                 continue
             voter = (row.voter,)
             if self.votes.containsKey(voter):
@@ -62,22 +71,33 @@ class BallotProcessor(StatefulProcessor):
                 if (old[0], old[1]) <= (micros, row.seq):
                     continue
             self.votes.updateValue(voter, (micros, row.seq, row.choice))
+            if self._decides(owner, row.voter, row.choice):
+                alarms.add(micros // 1000 + 1)
+        if opened is not None:
+            self.meta.update((owner, opened, False))
+        for alarm in alarms:
+            self.handle.registerTimer(alarm)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        """Close once: count what came up to the deciding vote, give the result, clear the votes."""
+        """Close once, if the watermark has passed the end or the deciding vote: count what came up to it, clear the votes."""
         owner, opened, closed = self.meta.get()
         if closed:
             return
-        votes = sorted((v[0], v[1], v[2], k[0]) for k, v in self.votes.iterator())
+        now, end = timerValues.getCurrentWatermarkInMs() * 1000, opened + self.seconds * 1_000_000
+        votes = sorted((v[0], v[1], v[2], k[0]) for k, v in self.votes.iterator() if opened <= v[0] < end)
         decision, counts = None, {"agree": 0, "disagree": 0, "abstain": 0}
-        for _, _, choice, voter in votes:
+        for at, _, choice, voter in votes:
             counts[choice] += 1
-            if choice != "abstain" and (voter == owner or voter in self.superusers):
-                decision = choice
+            if self._decides(owner, voter, choice):
+                decision, end = choice, at
                 break
+        if end > now:
+            return
         self.votes.clear()
         self.meta.update((owner, opened, True))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         yield Row(ballot=key[0], owner=owner, **counts, early=decision is not None, result=decide(counts["agree"], counts["disagree"], decision))
 
     def close(self) -> None:

@@ -1,6 +1,7 @@
 """Confirmation sessions: a user is asked, and answers within two minutes or not.
 
-A new request re-arms the session; an answer counts only while one is open.
+A new request re-arms the session; an answer counts only while one is open, and only if it refers to the message
+that the open session was asked with.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class ConfirmationProcessor(StatefulProcessor):
-    """Input rows: user_id, kind (ask, accept, decline), ts, seq."""
+    """Input rows: user_id, kind (ask, accept, decline), message (asked with, or answered), ts, seq."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "asked long")
+        self.open = handle.getValueState("open", "asked long, message long")
 
     def _outcome(self, key, asked: int, outcome: str) -> Row:
         import datetime as dt
@@ -36,7 +37,7 @@ class ConfirmationProcessor(StatefulProcessor):
         return Row(user_id=key[0], asked_at=dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(microseconds=asked), outcome=outcome)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked = self.open.get()[0] if self.open.exists() else None
+        asked, message = self.open.get() if self.open.exists() else (None, None)
         for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
             now = int(row.ts.timestamp()) * 1_000_000 + row.ts.microsecond
             if asked is not None and now >= asked + self.seconds * 1_000_000:
@@ -45,8 +46,8 @@ class ConfirmationProcessor(StatefulProcessor):
             if row.kind == "ask":
                 if asked is not None:
                     yield self._outcome(key, asked, "superseded")
-                asked = now
-            elif asked is not None:
+                asked, message = now, row.message
+            elif asked is not None and row.message == message:
                 yield self._outcome(key, asked, "accepted" if row.kind == "accept" else "declined")
                 asked = None
         for timer in list(self.handle.listTimers()):
@@ -54,7 +55,7 @@ class ConfirmationProcessor(StatefulProcessor):
         if asked is None:
             self.open.clear()
         else:
-            self.open.update((asked,))
+            self.open.update((asked, message))
             self.handle.registerTimer((asked + self.seconds * 1_000_000) // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

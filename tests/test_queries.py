@@ -42,27 +42,3 @@ def test_model_hook_scores_every_row(spark):
     got = {r.vec_id: r.mean for r in plans.QUERIES["score_udf"](spark, f"{DATA}/sf0.001").collect()}
     want = {r.vec_id: sum(r.embedding) / len(r.embedding) for r in spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-
-
-def test_confirmations_equal_a_plain_walk(spark):
-    kinds = {"signup": "ask", "click": "accept", "error": "decline"}
-    events = [r for r in spark.read.parquet(f"{DATA}/sf0.001/events.parquet").collect() if r.event_type in kinds]
-    want, open_ = [], {}
-    last = max(r.ts for r in events)
-    for r in sorted(events, key=lambda r: (r.ts, r.event_id)):
-        asked = open_.get(r.user_id)
-        if asked is not None and (r.ts - asked).total_seconds() >= 6 * 3600:
-            want.append((r.user_id, asked, "timeout"))
-            asked = None
-        if kinds[r.event_type] == "ask":
-            if asked is not None:
-                want.append((r.user_id, asked, "superseded"))
-            asked = r.ts
-        elif asked is not None:
-            want.append((r.user_id, asked, "accepted" if kinds[r.event_type] == "accept" else "declined"))
-            asked = None
-        open_[r.user_id] = asked
-    # sessions that the last watermark closes
-    want += [(u, a, "timeout") for u, a in open_.items() if a is not None and (last - a).total_seconds() >= 6 * 3600 + 600]
-    got = plans.QUERIES["confirm_stream"](spark, f"{DATA}/sf0.001").collect()
-    assert sorted((r.user_id, r.asked_at.replace(tzinfo=None), r.outcome) for r in got) == sorted(want)
