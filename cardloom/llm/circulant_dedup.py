@@ -338,8 +338,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: int) -> DataFrame:
     holds the set of one a at a time.
     """
     n = parts(pairs.sparkSession)
-    lots = pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {LOT}) as int)").alias("lots"))
-    members = pairs.join(lots, "a").select("a", F.expr("cast(pmod(xxhash64(b), lots) as int)").alias("lot"), F.lit(1).alias("role"), "b")
+    lots = cut(pairs.groupBy("a").agg(F.expr(f"cast(ceil(count(1) / {LOT}) as int)").alias("lots"), F.count(F.lit(1)).alias("members")))
+    members = skew_join(pairs, lots, ["a"], "members").select("a", F.expr("cast(pmod(xxhash64(b), lots) as int)").alias("lot"), F.lit(1).alias("role"), "b")
     hubs = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(0).alias("role"), F.col("a").alias("b"))
     roles = cut(_few(hubs.unionByName(members)))
     if roles.count() <= BROADCAST_ROWS:
@@ -436,8 +436,8 @@ def _families(rows: DataFrame) -> DataFrame:
 
     If families would take too many estimates, each bucket is a key of its own.
     """
-    least = rows.groupBy("bucket").agg(F.min("rep").alias("b"))
-    chains = components(rows.join(least, "bucket").select(F.col("rep").alias("a"), "b").distinct())
+    least = cut(rows.groupBy("bucket").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("members")))
+    chains = components(skew_join(rows.select("bucket", "rep"), least, ["bucket"], "members").select(F.col("rep").alias("a"), "b").distinct())
     members = rows.select("rep", "component", "n").distinct().join(chains, F.col("rep") == chains["node"]).select(chains["component"].alias("key"), "rep", rows["component"], "n")
     members = cut(members)
     sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("t"))
