@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cardloom.functions.text import trimmed
+
 # The commands, each with how it matches and its text.
 COMMANDS = [
     ("draw_a", "regex", r"^抽(?!.*老公).*老婆.*$"),
@@ -31,6 +33,20 @@ def command(message: Column) -> Column:
     return out
 
 
+def argument(message: Column) -> Column:
+    """What follows the prefix of a rename, share or vote command, trimmed; null for other messages and where nothing follows."""
+    out = F.lit(None).cast("string")
+    for _, how, text in reversed(COMMANDS):
+        if how == "prefix":
+            out = F.when(F.startswith(message, F.lit(text)), trimmed(F.substring(message, len(text) + 1, 2**31 - 1))).otherwise(out)
+    return F.when(out != "", out)
+
+
+def reply_mode(images: Column) -> Column:
+    """How a reply is sent: more than two images as a forwarded bundle, else in line."""
+    return F.when(images > 2, "forward").otherwise("inline")
+
+
 def gate(ready: Column, accepted: Column, pending: Column) -> Column:
     """The first gate that stops a command, or "pass": model ready, terms accepted, confirmation pending."""
     return F.when(~ready, "model_not_ready").when(accepted, "pass").when(pending, "confirmation_pending").otherwise("ask_terms")

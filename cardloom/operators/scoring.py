@@ -29,13 +29,26 @@ def suspicious(rows: DataFrame, column: str, limit: float = SUSPICIOUS) -> DataF
     return rows.where(F.col(column) > limit)
 
 
-def with_model(rows: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Score batches with a model that each worker builds once.  A row that the scorer fails on is its own
-    business: the scorer returns 0 for it."""
+def with_model(rows: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, failed: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """Score batches with a model that each worker builds once.
+
+    ``failed`` gives the result of rows that the scorer raises an error on: a batch that fails is scored row by row, so
+    one bad row costs the others nothing.  Without it errors are raised.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = make_scorer()
         for batch in batches:
-            yield score(batch)
+            try:
+                yield score(batch)
+            except Exception:
+                if failed is None:
+                    raise
+                for i in range(len(batch)):
+                    row = batch.iloc[i : i + 1]
+                    try:
+                        yield score(row)
+                    except Exception:
+                        yield failed(row)
 
     return rows.mapInPandas(run, schema)

@@ -72,7 +72,7 @@ def history_total(spark, sf_dir):
     return holdings.running_total(draws(spark, sf_dir), ["user_id", "pool"], ["ts", "seq"]).select("seq", "user_id", "pool", "running_total")
 
 
-@query()
+@query(_DRAWS + """SELECT user_id, pool, CAST(to_json(list({'timestamp': strftime(ts, '%Y-%m-%d %H:%M:%S'), 'card_name': card} ORDER BY ts, seq)) AS VARCHAR) AS history, count(*) AS total_count FROM draws GROUP BY user_id, pool""")
 def history_json(spark, sf_dir):
     """Histories as JSON text."""
     entry = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("card").alias("card_name"))
@@ -193,14 +193,15 @@ def reply_root(spark, sf_dir):
 
 # -- tag scores --------------------------------------------------------------------
 
-_TAGS = [("boy", "girl", "other", "boy_girl")[i % 4] + f"_{i}" for i in range(64)]
-_SCORES = f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS v, [{', '.join(map(repr, _TAGS))}] AS tags FROM embeddings),
+#: Four tags in sixty-four for each group, and four that name both.
+_TAGS = [{0: "boy", 4: "girl", 8: "boy_girl"}.get(i % 16, "other") + f"_{i}" for i in range(64)]
+_SCORES = f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: 1 / (1 + exp(-20 * CAST(x AS DOUBLE)))) AS v, [{', '.join(map(repr, _TAGS))}] AS tags FROM embeddings),
 g AS (SELECT vec_id, list_sum([v[i] FOR i IN range(1, 65) IF contains(tags[i], 'boy')]) AS b, list_sum([v[i] FOR i IN range(1, 65) IF contains(tags[i], 'girl')]) AS g FROM s),
 c AS (SELECT vec_id, round(CASE WHEN b + g > 0 THEN b / (b + g) ELSE b END, 6) AS boy, round(CASE WHEN b + g > 0 THEN g / (b + g) ELSE g END, 6) AS girl FROM g)"""
 
 
 def _scores(spark, sf_dir):
-    scores = F.transform("embedding", lambda x: 1 / (1 + F.exp(-x.cast("double"))))
+    scores = F.transform("embedding", lambda x: 1 / (1 + F.exp(-20 * x.cast("double"))))
     tags = F.array(*[F.lit(t) for t in _TAGS])
     return scoring.confidence(table(spark, sf_dir, "embeddings").select("vec_id", scores.alias("scores"), tags.alias("tags")))
 
@@ -211,19 +212,19 @@ def tag_confidence(spark, sf_dir):
     return _scores(spark, sf_dir).select("vec_id", "boy", "girl")
 
 
-@query(_SCORES + " SELECT vec_id, boy FROM c WHERE boy > 0.51")
+@query(_SCORES + " SELECT vec_id, boy FROM c WHERE boy > 0.6")
 def tag_suspicious(spark, sf_dir):
-    """Scores above a threshold."""
-    return scoring.suspicious(_scores(spark, sf_dir), "boy", 0.51).select("vec_id", "boy")
+    """Scores above the threshold."""
+    return scoring.suspicious(_scores(spark, sf_dir), "boy").select("vec_id", "boy")
 
 
-@query()
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean FROM embeddings")
 def score_udf(spark, sf_dir):
     """A model hook: batches go to a scorer that each worker makes once (here, the mean)."""
 
     def make():
         def score(batch):
-            return batch[["vec_id"]].assign(mean=[float(sum(map(float, v))) / len(v) for v in batch["embedding"]])
+            return batch[["vec_id"]].assign(mean=[round(float(sum(map(float, v))) / len(v), 6) for v in batch["embedding"]])
 
         return score
 

@@ -1,11 +1,15 @@
-"""File sources: an item library in folders, and an alias dictionary in YAML-like text."""
+"""File sources: an item library in folders, images, and an alias dictionary in YAML."""
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardloom.functions import names
+from cardloom.sources.schemas import ALIASES
 
 
 def library(spark: SparkSession, folders: dict[str, str], digest: bool = False) -> DataFrame:
@@ -38,3 +42,42 @@ def alias_table(entries: DataFrame) -> DataFrame:
     words = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.array("short_name", "en_name"))
     rows = entries.select("position", "name", F.posexplode(words).alias("k", "alias")).where("alias is not null and alias <> ''")
     return rows.groupBy(F.lower("alias").alias("alias")).agg(F.max_by("name", F.struct("position", "k")).alias("name"))
+
+
+def parsed_aliases(text: str) -> list[tuple]:
+    """position, name, aliases, short_name, en_name of a dictionary in the YAML of this form: a list ``games`` of mappings
+    of scalars and lists of scalars, lists as blocks or in brackets, scalars bare or in quotes, comments after ``#``."""
+    games: list[dict] = []
+    key = None
+    for raw in text.splitlines():
+        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
+        body = line.strip()
+        if not body or body == "games:":
+            continue
+        starts_entry = re.match(r"-\s+(\w+):(?:\s+(.*))?$", body)
+        pair = starts_entry or re.match(r"(\w+):(?:\s+(.*))?$", body)
+        if starts_entry:
+            games.append({})
+        if pair and games:
+            key, value = pair[1], (pair[2] or "").strip()
+            inline = re.match(r"\[(.*)\]$", value)
+            games[-1][key] = [_scalar(x) for x in inline[1].split(",") if x.strip()] if inline else _scalar(value) if value else []
+        elif body.startswith("- ") and games and isinstance(games[-1].get(key), list):
+            games[-1][key].append(_scalar(body[2:]))
+        else:
+            raise ValueError(f"not an entry of the dictionary: {raw!r}")
+    return [(i, g["name"], g.get("aliases") or [], g.get("short_name") or None, g.get("en_name") or None) for i, g in enumerate(games)]
+
+
+def _scalar(text: str) -> str:
+    text = text.strip()
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+
+
+def alias_file(spark: SparkSession, path: str) -> DataFrame:
+    """(alias, name) from a dictionary file, read on the driver as it is small; empty if it is missing or cannot be read."""
+    try:
+        entries = parsed_aliases(spark.read.text(path, wholetext=True).first()[0])
+    except (AnalysisException, ValueError, KeyError, TypeError):
+        entries = []
+    return alias_table(spark.createDataFrame(entries, ALIASES))

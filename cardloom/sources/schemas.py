@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 
 def _of(**fields) -> StructType:
@@ -11,18 +11,18 @@ def _of(**fields) -> StructType:
 
 S, L, T, I = StringType(), LongType(), TimestampType(), IntegerType()  # noqa: E741
 
-CATALOG = _of(item_id=L, pool=S, file_name=S)
-#: (user_id, card_type) last wins.
-DRAWS = _of(user_id=S, card_name=S, times=T, card_type=S)
-#: image_name last wins.
-VOTES = _of(id=L, owner_user_id=S, image_name=S, vote_result=S, vote_time=T, voters=_of(agree=ArrayType(S), disagree=ArrayType(S), abstain=ArrayType(S)))
-#: (user_id, old_image_name) first wins.
-RENAMES = _of(user_id=S, old_image_name=S, new_image_name=S, rename_time=T)
-MOVES = _of(id=L, user_id=S, command=S, moved_images=ArrayType(S), usage_time=T, card_type=S)
-HISTORY = _of(user_id=S, card_type=S, history=ArrayType(_of(timestamp=S, card_name=S)), total_count=L, last_draw_time=T)
-USERS = _of(user_id=S, read_help=I)
-ALIASES = _of(name=S, aliases=ArrayType(S), short_name=S, en_name=S)
-REACTIONS = _of(ballot_id=L, voter_id=L, reaction=S, ts=T)
-MESSAGES = _of(message_id=L, reply_to=L, sender_id=L)
-TAG_SCORES = _of(image=S, tags=ArrayType(S), scores=ArrayType(FloatType()))
-EVENTS = _of(event_id=L, ts=T, user_id=L, event_type=S, value=FloatType(), props=S)
+#: The stored logs; every change is a row that is added.
+LOGS = {
+    # (user_id, card_type) last wins
+    "draws": _of(user_id=S, card_name=S, times=T, card_type=S),
+    # image_name last wins
+    "votes": _of(id=L, owner_user_id=S, image_name=S, vote_result=S, vote_time=T, voters=_of(agree=ArrayType(S), disagree=ArrayType(S), abstain=ArrayType(S))),
+    # (user_id, old_image_name) first wins
+    "renames": _of(user_id=S, old_image_name=S, new_image_name=S, rename_time=T),
+    "moves": _of(id=L, user_id=S, command=S, moved_images=S, usage_time=T, card_type=S),
+    "history": _of(user_id=S, card_type=S, history=S, total_count=L, last_draw_time=T),
+    "users": _of(user_id=S, read_help=I),
+}
+#: An entry of ``history``, as JSON in a list.
+HISTORY_ENTRY = ArrayType(_of(timestamp=S, card_name=S))
+ALIASES = _of(position=I, name=S, aliases=ArrayType(S), short_name=S, en_name=S)

@@ -30,3 +30,13 @@ def test_core_never_imports_them():
     for path in (ROOT / "cardloom").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
             assert "cardloom.llm" not in path.read_text()
+
+
+def test_errors_within_the_training_data_operators_are_errors(tmp_path):
+    (tmp_path / "cardloom" / "llm").mkdir(parents=True)
+    shutil.copytree(ROOT / "cardloom", tmp_path / "cardloom", dirs_exist_ok=True, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "cardloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "cardloom" / "llm" / "entry_queries.py").write_text("import a_module_that_is_not_there\n")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": ""}, timeout=120, capture_output=True, text=True)
+    assert done.returncode and "a_module_that_is_not_there" in done.stderr

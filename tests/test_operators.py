@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import ballots, holdings, matching, replies, scoring, selection, stats
-from cardloom.sources import files
+from cardloom.operators import ballots, holdings, matching, pools, replies, scoring, selection, stats
+from cardloom.sources import files, images, logs
 
 T = dt.datetime(2024, 1, 1)
 
@@ -95,3 +96,105 @@ def test_library_lists_files(spark, tmp_path):
     found = files.library(spark, {"A": str(tmp_path / "a"), "B": str(tmp_path / "b")}, digest=True)
     assert found.count() == 3 and {len(r.sha256) for r in found.collect()} == {64}
     assert {(r.pool, r.series, r.character, r.suffix) for r in files.listed(found).collect()} == {("A", "g", "c", ""), ("B", "g", "d", "1")}
+
+
+def library_of(spark):
+    rows = [(1, "A", "g_c.png"), (2, "A", "g_c_1.png"), (3, "B", "g_c.png"), (4, "A", "g_d.png"), (5, "B", "h_c.png"), (6, "A", "plain")]
+    return spark.createDataFrame([(i, p, f, f.rsplit(".", 1)[0]) for i, p, f in rows], "item_id long, pool string, file_name string, stem string")
+
+
+def test_moves_take_the_first_request_and_leave_files_that_are_there(spark):
+    asked = spark.createDataFrame([("u", "g_c", "A", "B", at(2), 2), ("v", "g_c_1", "A", "B", at(1), 1), ("w", "plain", "A", "B", at(1), 3), ("x", "z_z", "A", "B", at(1), 4)], "user_id string, card string, pool string, to string, ts timestamp, seq long")
+    found = pools.requested(library_of(spark), asked)
+    assert {r.user_id: (r.moved, r.failed) for r in pools.report(found).collect()} == {"v": (["g_c_1"], ["g_c.png"]), "u": ([], ["g_c.png", "g_c_1.png"])}
+    assert {r.item_id: r.pool for r in pools.moved(library_of(spark), found).collect()} == {1: "A", 2: "B", 3: "B", 4: "A", 5: "B", 6: "A"}
+    held = spark.createDataFrame([("v", "g_c_1"), ("v", "h_c"), ("u", "g_c")], "user_id string, card string")
+    assert {(r.user_id, r.card) for r in pools.without_holdings(held, found).collect()} == {("v", "h_c"), ("u", "g_c")}
+
+
+def test_removal_takes_files_of_any_pool(spark):
+    asked = spark.createDataFrame([("u", "g_c_9", None, pools.REMOVED, at(1), 1)], "user_id string, card string, pool string, to string, ts timestamp, seq long")
+    found = pools.requested(library_of(spark), asked)
+    after = {r.item_id: r.pool for r in pools.moved(library_of(spark), found).collect()}
+    assert {i for i, p in after.items() if p == pools.REMOVED} == {1, 2, 3}
+    assert pools.requested(library_of(spark).limit(0), asked).count() == 0
+
+
+def test_logs_are_made_once_and_take_declared_columns_only(spark, tmp_path):
+    folder = str(tmp_path / "logs")
+    logs.create(spark, folder)
+    rows = spark.createDataFrame([("u", "g_c", T, "A"), ("u", "g_d", at(5), "A")], "user_id string, card_name string, times timestamp, card_type string")
+    logs.append(rows, folder, "draws")
+    logs.create(spark, folder)
+    assert logs.read(spark, folder, "draws").count() == 2 and logs.moves(spark, folder).count() == 0 and logs.histories(spark, folder).count() == 0
+    with pytest.raises(ValueError, match="other"):
+        logs.append(rows.withColumn("other", F.lit(1)), folder, "draws")
+
+
+def test_alias_files(spark, tmp_path):
+    path = tmp_path / "aliases.yaml"
+    path.write_text("games: # a list\n  - name: One\n    aliases:\n      - o\n      - 'X y'\n    en_name: \"One En\"\n\n  - name: 二\n    aliases: [t, x Y]\n    short_name: 2\n  - name: Three\n    aliases:\n")
+    got = {r.alias: r.name for r in files.alias_file(spark, str(path)).collect()}
+    assert got == {"one": "One", "o": "One", "x y": "二", "one en": "One", "二": "二", "t": "二", "2": "二", "three": "Three"}
+    for text in ("games:\n  - aliases: [a]\n", "not yaml of this form", ""):
+        path.write_text(text)
+        assert files.alias_file(spark, str(path)).count() == 0
+    assert files.alias_file(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_images_that_cannot_be_read_or_scored_get_no_score(spark, tmp_path):
+    (tmp_path / "a.ppm").write_bytes(b"P6 2 1 255\n" + bytes([255, 0, 0, 0, 0, 255]))
+    (tmp_path / "b.pgm").write_bytes(b"P5 1 1 255\n" + bytes([51]))
+    (tmp_path / "c.png").write_bytes(b"no image")
+    (tmp_path / "d.pgm").write_bytes(b"P5 1 1 255\n\x00")
+    tensor = images.decode((tmp_path / "a.ppm").read_bytes())
+    assert tensor.shape == (1, 512, 512, 3) and tensor[0, 0, 0].tolist() == [1, 0, 0] and tensor[0, 511, 511].tolist() == [0, 0, 1]
+
+    def make():
+        def score(x):
+            if x.max() == 0:
+                raise ValueError("black")
+            return x[..., 0].mean(), x[..., 2].mean()
+
+        return score
+
+    got = {r.file_name: (r.boy, r.girl) for r in images.scored(images.files(spark, str(tmp_path)), make).collect()}
+    assert {k: tuple(round(x, 4) for x in v) for k, v in got.items()} == {"a.ppm": (0.5, 0.5), "b.pgm": (0.2, 0.2), "c.png": (0, 0), "d.pgm": (0, 0)}
+
+
+def test_a_row_that_fails_costs_the_others_nothing(spark):
+    rows = spark.createDataFrame([(i, None if i == 3 else float(i)) for i in range(6)], "id long, x double")
+
+    def make():
+        def score(batch):
+            if batch["x"].isna().any():
+                raise ValueError("no number")
+            return batch.assign(y=batch["x"] * 2)[["id", "y"]]
+
+        return score
+
+    got = scoring.with_model(rows.coalesce(1), make, "id long, y double", failed=lambda b: b.assign(y=0.0)[["id", "y"]])
+    assert {r.id: r.y for r in got.collect()} == {0: 0, 1: 2, 2: 4, 3: 0, 4: 8, 5: 10}
+    with pytest.raises(Exception, match="no number"):
+        scoring.with_model(rows, make, "id long, y double").collect()
+
+
+def test_ballots_in_batches_count_late_votes_and_end_with_the_deciding_one(spark, tmp_path):
+    """An earlier vote comes in a later batch; the owner's vote ends a ballot once the watermark has passed it."""
+    from cardloom.streaming import ballots as stream
+    from cardloom.streaming import common
+
+    schema = "ballot long, owner long, voter long, choice string, ts timestamp, seq long"
+    hour = 3600
+    batches = [
+        [(1, 9, 2, "agree", at(2 * hour), 2), (2, 9, 5, "agree", at(2 * hour), 3)],
+        [(1, 9, 1, "disagree", at(int(1.5 * hour)), 1), (1, 9, 9, "agree", at(3 * hour), 4), (2, 9, 9, "abstain", at(3 * hour), 5)],
+        [(3, 9, 1, "abstain", at(5 * hour), 6), (1, 9, 3, "disagree", at(5 * hour), 7)],
+        [(3, 9, 2, "abstain", at(6 * hour), 8)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    votes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = {r.ballot: tuple(r)[2:] for r in common.drained(stream.results(votes, 24 * hour, []), "late").collect()}
+    # ballot 2 is open for a day and has no deciding vote, ballot 3 is not over
+    assert got == {1: (2, 1, 0, True, "remove")}
