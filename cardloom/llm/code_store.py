@@ -10,7 +10,8 @@ Codes, 2013.)
 
 A store is a folder of such files.  Documents lie in ascending key order across and within
 files; every file has a table of its documents, and ``manifest`` (Parquet)
-lists the files in order with the ids before each.
+lists the files in order with the ids before each.  :func:`opened` reads single ids or runs of a file by seeking to
+the bytes they need, and :func:`ids_at` those at any places of a store.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cardloom.llm.frames import parts
+from cardloom.llm.frames import parts, remove
 from cardloom.llm.workers import in_batches
 from cardloom.llm.words import slices
 
@@ -110,6 +111,46 @@ def to_bytes(keys: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
 
+class _Stored:
+    """An array in a file that reads what is asked for."""
+
+    def __init__(self, file, at: int, kind: str, size: int):
+        self.file, self.at, self.kind, self.size = file, at, np.dtype(kind), size
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            a, b, _ = i.indices(self.size)
+            self.file.seek(self.at + a * self.kind.itemsize)
+            return np.frombuffer(self.file.read(max(b - a, 0) * self.kind.itemsize), self.kind)
+        return self[i : i + 1][0]
+
+
+def opened(file) -> tuple[_Stored, _Stored, CodeArray]:
+    """Keys, starts and codes of a file that can seek; nothing is read but sizes until it is asked for.
+
+    The sizes must add up to the file's; its checksum is not looked at, as that takes the whole file (see :func:`from_bytes`).
+    """
+    head = file.read(32)
+    if head[:8] != MAGIC or len(head) < 32:
+        raise ValueError("not a token file")
+    n, size, depth = struct.unpack_from("<QQQ", head, 8)
+    keys, starts = _Stored(file, 32, "<i8", n), _Stored(file, 32 + 8 * n, "<i8", n + 1)
+    at, levels = 40 + 16 * n, []
+    for _ in range(depth):
+        told = _Stored(file, at, "<u8", 1)[:]
+        if not len(told):
+            raise ValueError("not a whole token file")
+        length = int(told[0])
+        n_bits = (length + 7) // 8
+        n_ones = -(-n_bits // (BLOCK // 8)) + 1
+        levels.append((_Stored(file, at + 8, "u1", length), _Stored(file, at + 8 + length, "u1", n_bits), _Stored(file, at + 8 + length + n_bits, "<u8", n_ones)))
+        at += 8 + length + n_bits + 8 * n_ones
+    file.seek(0, 2)
+    if file.tell() != at + 4:
+        raise ValueError("not a whole token file")
+    return keys, starts, CodeArray(levels, size)
+
+
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, CodeArray]:
     """Keys, starts and codes of a file; a damaged file is an error."""
     if data[:8] != MAGIC or zlib.crc32(memoryview(data)[:-4]) != struct.unpack("<I", data[-4:])[0]:
@@ -180,14 +221,49 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, k
         if keys:
             yield close()
 
-    # One row a file.
-    files = in_batches(rows, write, "part int, number int, name string, n_docs long, n_ids long", keep=True).collect()
-    files.sort(key=lambda r: (r["part"], r["number"]))
-    listed, before = [], 0
-    for r in files:
-        listed.append((r["name"], r["n_docs"], r["n_ids"], before))
-        before += r["n_ids"]
-    spark.createDataFrame(listed, "name string, n_docs long, n_ids long, before long").coalesce(1).write.parquet(f"{folder}/manifest")
+    # A row for each file, written by the tasks that counted.
+    in_batches(rows, write, "part int, number int, name string, n_docs long, n_ids long", keep=True).write.parquet(f"{folder}/files")
+    files = spark.read.parquet(f"{folder}/files")
+    # Ids before each partition (as many rows as a shuffle has partitions), and before each file in it.
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = files.withColumn("_earlier", earlier).join(F.broadcast(totals.select("part", before.alias("_before"))), "part")
+    placed.select("name", "n_docs", "n_ids", (F.col("_before") + F.col("_earlier")).alias("before")).write.parquet(f"{folder}/manifest")
+    remove(spark, f"{folder}/files")
+
+
+def ids_at(spark: SparkSession, folder: str, places: DataFrame, place: str = "place") -> DataFrame:
+    """place and id: the ids at any places (0, 1, 2, ... over the whole store) of a column, by seeking in the files.
+
+    Each file is opened once by a task and only the bytes that the wanted ids need are read.  Places are dealt out to
+    files by ranges of ``FILE_IDS``, of which a file touches few.
+
+    Edge cases: a place that is null or outside the store gives no row; a place that is asked for twice gives two rows.
+    """
+    files = spark.read.parquet(f"{folder}/manifest").where("n_ids > 0").withColumn("_last", F.col("before") + F.col("n_ids") - 1)
+    files = files.withColumn("_range", F.explode(F.expr(f"sequence(before div {FILE_IDS}, _last div {FILE_IDS})")))
+    wanted = places.select(F.col(place).cast("long").alias("_place")).withColumn("_range", F.expr(f"_place div {FILE_IDS}"))
+    found = wanted.join(files, "_range").where("_place between before and _last").select("name", (F.col("_place") - F.col("before")).alias("i"), F.col("_place").alias("place"))
+    found = found.repartition(parts(spark), "name", F.expr(f"place div {FILE_IDS // 64}")).sortWithinPartitions("name", "i")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        name, file, codes = None, None, None
+        for batch in batches:
+            ids = []
+            for own, i in zip(batch.column("name").to_pylist(), batch.column("i").to_pylist(), strict=True):
+                if own != name:
+                    if file:
+                        file.close()
+                    name, file = own, fs.open_input_file(f"{base}/{own}")
+                    codes = opened(file)[2]
+                ids.append(codes[i])
+            yield pa.RecordBatch.from_pydict({"place": batch.column("place"), "id": pa.array(ids, pa.int64())})
+        if file:
+            file.close()
+
+    return in_batches(found, look, "place long, id long")
 
 
 def read_store(spark: SparkSession, folder: str, key: str = "doc_id", with_ids: bool = False) -> DataFrame:
