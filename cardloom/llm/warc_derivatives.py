@@ -7,7 +7,8 @@ The ``conversion`` record holds the page's plain text.  Both name the response i
 (ISO 28500:2017, WARC 1.1.)
 
 Records are compressed one by one, so a reader can begin at any of them.  Record ids follow from the
-source's id, so repeated tasks write the same records.
+source's id, so repeated tasks write the same records; that of a response follows from its page, and of equal pages
+from their places too, so no two records share an id.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ LEVEL = 1
 #: Bytes read at once; what follows a compressed member is copied, so not many.
 READ_BYTES = 64 << 10
 
+#: So many hashes of repeated keys are sent to the tasks (8 bytes each).
+MOST_REPEATED = 100_000
+
 Headers = list[tuple[str, str]]
 
 
@@ -141,11 +145,11 @@ def _headers(lines: list[str]) -> Headers:
     return out
 
 
-def response(key: str, url: str | None, page: str | None, date: str) -> tuple[Headers, bytes]:
-    """A page as a response record."""
+def response(key: str, url: str | None, page: str | None, date: str, place: str = "") -> tuple[Headers, bytes]:
+    """A page as a response record; ``place`` tells equal pages apart."""
     payload = (page or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "", page or "")), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "", page or "", *([place] if place else []))), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", url)] if url else []
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(payload))]
     return headers, block
@@ -158,6 +162,7 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
 _LANGUAGE = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+_META_CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
 def plain_text(page: str) -> str:
@@ -169,7 +174,8 @@ def plain_text(page: str) -> str:
 def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     """The metadata and the conversion record of a response; nothing of other records.
 
-    A block that is no HTTP message is taken as the payload itself.  Undecodable bytes become U+FFFD.
+    A block that is no HTTP message is taken as the payload itself.  The HTTP header names the character set, else the
+    first ``meta`` that does, else it is UTF-8 (as for an unknown one).  Undecodable bytes become U+FFFD.
     """
     given = by_name(headers)
     if given.get("warc-type") != "response":
@@ -180,9 +186,9 @@ def derive(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
         head, _, payload = block.partition(b"\r\n\r\n")
         status, *lines = head.decode("latin-1").split("\r\n")
         http = _headers(lines)
-    told = _CHARSET.search(get(http, "Content-Type") or "") or _CHARSET.search(payload[:1024].decode("latin-1"))
+    told, meta = _CHARSET.search(get(http, "Content-Type") or ""), _META_CHARSET.search(payload)
     try:
-        page = payload.decode(told[1] if told else "utf-8", "replace")
+        page = payload.decode(told[1] if told else meta[1].decode() if meta else "utf-8", "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
@@ -269,14 +275,19 @@ def _read(spark: SparkSession, folder: str, schema: str, turn) -> DataFrame:
 
 def write_responses(pages: DataFrame, folder: str, date: str, key: str = "page_id", url: str = "url", page: str = "html") -> None:
     """Pages as response records in WARC files."""
+    rows = pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_html"))
+    rows = rows.withColumn("_name", F.xxhash64("_key"))
+    # Keys that occur more than once, told by hashes of 8 bytes; if there are very many, all pages are told apart by their places.
+    again = [r["_name"] for r in rows.groupBy("_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_name").limit(MOST_REPEATED + 1).collect()]
+    repeated, all_placed = frozenset(again), len(again) > MOST_REPEATED
 
     def make(batch: pa.RecordBatch) -> Iterator[tuple[Headers, bytes]]:
         for part in slices(batch, "_html"):
-            for k, u, h in zip(*(part.column(c).to_pylist() for c in ("_key", "_url", "_html")), strict=True):
-                headers, block = response("" if k is None else str(k), u, h, date)
+            for k, u, h, name, place in zip(*(part.column(c).to_pylist() for c in ("_key", "_url", "_html", "_name", "_place")), strict=True):
+                headers, block = response("" if k is None else str(k), u, h, date, str(place) if all_placed or name in repeated else "")
                 yield [*headers, *([("X-Source-Key", str(k))] if k is not None else [])], block
 
-    _written(pages.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_html")), make, folder)
+    _written(rows.withColumn("_place", F.monotonically_increasing_id()), make, folder)
 
 
 def write_derivatives(spark: SparkSession, source: str, folder: str) -> None:
@@ -315,7 +326,7 @@ def derivatives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z
     ``folder``: a URI that driver and executors share; ``responses`` and ``derivatives`` are made in it.
 
     Edge cases: a null page is an empty payload, a null url leaves the URI out, a null key leaves the key out;
-    rows that are equal give equal records (each of them); an empty table gives folders without files and an empty result;
+    rows that are equal give a record each, with ids of their own; an empty table gives folders without files and an empty result;
     other columns are ignored.
     """
     spark = pages.sparkSession
