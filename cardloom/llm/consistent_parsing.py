@@ -187,10 +187,10 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
         return spark.createDataFrame([], schema)
     order = sorted(tops)
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    target = F.create_map(*[F.lit(x) for b in order for x in (b, before[b])])[F.col("_bucket")]
-    top = F.create_map(*[F.lit(x) for b in order for x in (b, tops[b])])[F.col("_bucket")]
-    own, guest = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest")), F.struct(target.alias("b"), F.lit(1).alias("guest"))
-    dealt = rows.withColumn("_to", F.explode(F.when(F.col("_rank") == top, F.array(own, guest)).otherwise(F.array(own))))
+    # a row for each bucket, so as many as eight times the partitions of a shuffle
+    known = F.broadcast(spark.createDataFrame([(b, tops[b], before[b]) for b in order], "_bucket int, _top long, _target int"))
+    own, guest = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_target").alias("b"), F.lit(1).alias("guest"))
+    dealt = rows.join(known, "_bucket").withColumn("_to", F.explode(F.when(F.col("_rank") == F.col("_top"), F.array(own, guest)).otherwise(F.array(own))))
     dealt = dealt.select(F.col("_to.b").alias("_bucket"), F.col("_to.guest").alias("_guest"), "_key", "_rank", "_text")
     dealt = dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_guest", F.desc("_rank"), "_text")
 

@@ -640,9 +640,14 @@ def test_token_files(spark, docs, odd, none, monkeypatch):
             want.append((d, before, len(i), zlib.crc32(np.array(i, "<u4")), tuple(i)))
             before += len(i)
         assert sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"], tuple(r["ids"])) for r in got) == sorted((b, d, n, c, i) for d, b, n, c, i in want)
+        flat_ids = [x for i in ids for x in i]
+        rng = random.Random(6)
+        asked = [None, -1, before, 0, 0, before - 1, 4999, 5000, *(rng.randrange(before) for _ in range(300))]
+        found = rows(code_store.ids_at(spark, folder, spark.createDataFrame([(p,) for p in asked], "place long")))
+        assert Counter((r["place"], r["id"]) for r in found) == Counter((p, flat_ids[p]) for p in asked if p is not None and 0 <= p < before)
     folder = frames.new_folder(spark, "test")
     code_store.write_store(none, BYTES, folder)
-    assert code_store.read_store(spark, folder).count() == 0
+    assert code_store.read_store(spark, folder).count() == 0 and code_store.ids_at(spark, folder, spark.createDataFrame([(0,)], "place long")).count() == 0
 
 
 def test_near_duplicates_refuse_a_share_that_bands_would_miss(none):
@@ -765,6 +770,89 @@ def test_warc_derivatives_of_all_pages(spark):
         assert text["block"] == W.plain_text(page.html) and "<p>" not in text["block"]
 
 
+def plain_page(page):
+    """Title, language, links and lines of a page by the library's parser."""
+    from html.parser import HTMLParser
+
+    blocks = set("address article aside blockquote body br caption dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th tr ul".split())
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.skip, self.text, self.title, self.language, self.links = None, [], [], None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "template", "noscript", "title") and self.skip is None:
+                self.skip = tag
+            if tag in blocks:
+                self.text.append("\n")
+            if tag == "html":
+                self.language = dict(attrs).get("lang")
+            if tag == "a" and dict(attrs).get("href"):
+                self.links.append(dict(attrs)["href"])
+
+        def handle_endtag(self, tag):
+            if tag == self.skip:
+                self.skip = None
+                self.text.append(" ")
+            if tag in blocks:
+                self.text.append("\n")
+
+        def handle_comment(self, data):
+            self.text.append(" ")
+
+        def handle_data(self, data):
+            (self.title if self.skip == "title" else self.text if self.skip is None else []).append(data)
+
+    p = Parser()
+    p.feed(page)
+    p.close()
+    lines = [" ".join(x.split()) for x in "".join(p.text).split("\n")]
+    return " ".join("".join(p.title).split()), p.language, p.links, "\n".join(x for x in lines if x)
+
+
+def plain_digest(data):
+    import base64
+
+    return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def test_warc_records_equal_plain_ones(spark):
+    """Every record against what a plain reading of its page gives; nothing of the module is used but the query."""
+    got = rows(entry_queries.op7_warc_derivatives(spark, SF))
+    pages = {r.page_id: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len({r["record_id"] for r in got}) == len(got) == 2 * len(pages)
+    for r in got:
+        page = pages[r["page_id"]]
+        title, language, links, text = plain_page(page.html)
+        payload = page.html.encode()
+        assert r["url"] == page.url and r["warc_date"] == "2024-01-01T00:00:00Z" and re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", r["record_id"])
+        assert r["source_payload_digest"] == plain_digest(payload) and r["block_digest"] == plain_digest(r["block"].encode()) and r["content_length"] == len(r["block"].encode())
+        if r["record_type"] == "conversion":
+            assert r["block"] == text and r["content_type"] == "text/plain; charset=utf-8"
+            continue
+        fields = [tuple(x.split(": ", 1)) for x in r["block"].split("\r\n") if x]
+        told = dict(fields)
+        assert r["content_type"] == "application/warc-fields" and [v for n, v in fields if n == "outlink"] == links
+        assert (told.get("title", ""), told.get("language")) == (title, language)
+        assert told["payload-digest"] == told["source-warc-payload-digest"] == plain_digest(payload) and told["payload-length"] == told["http-header-content-length"] == str(len(payload))
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+        assert told["source-warc-block-digest"] == plain_digest(http) and told["source-warc-target-uri"] == page.url and told["source-record-id"] == told["source-warc-record-id"] == r["refers_to"]
+    pairs = {r["record_id"]: r["concurrent_to"] for r in got}
+    assert all(pairs[b] == a for a, b in pairs.items())
+
+
+def test_a_very_long_page_and_its_late_character_set(spark):
+    from cardloom.llm import warc_derivatives as W
+
+    long = "<html><body>" + "<p>some words of it</p>" * 200_000
+    df = spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")
+    got = {r["record_type"]: r for r in rows(W.derivatives(df, frames.new_folder(spark, "t")))}
+    assert got["conversion"]["block"] == "\n".join(["some words of it"] * 200_000)
+    late = b"<!-- " + b"x" * 5000 + b' --><meta charset="iso-8859-1"><p>' + "é".encode("latin-1")
+    assert W.derive([("WARC-Type", "response"), ("WARC-Record-ID", "<r>")], b"HTTP/1.1 200 OK\r\n\r\n" + late)[1][1].decode() == "é"
+
+
 def test_warc_metadata_keeps_source_headers_and_takes_the_digest():
     from cardloom.llm import warc_derivatives as W
 
@@ -795,4 +883,9 @@ def test_warc_round_trip_and_edge_cases(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a", None), (2, "u", "<p>a", None), (2, "u", "<p>a", None)], schema)
     got = Counter((r["page_id"], r["url"], r["block"]) for r in rows(W.derivatives(df, frames.new_folder(spark, "t"))) if r["record_type"] == "conversion")
     assert got == {(1, None, ""): 1, (None, "u", "a"): 1, (2, "u", "a"): 2}
+    for most in (W.MOST_REPEATED, 0):
+        W.MOST_REPEATED, before = most, W.MOST_REPEATED
+        ids = [r["record_id"] for r in rows(W.derivatives(df, frames.new_folder(spark, "t")))]
+        W.MOST_REPEATED = before
+        assert len(set(ids)) == len(ids) == 8
     assert W.derivatives(df.limit(0), frames.new_folder(spark, "t")).count() == 0

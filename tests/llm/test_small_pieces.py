@@ -186,6 +186,32 @@ def test_codes_give_any_id_and_any_run(most):
         codes[5000]
 
 
+class Counted(__import__("io").BytesIO):
+    bytes_read = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.bytes_read += len(data)
+        return data
+
+
+def test_a_token_is_read_from_a_file_without_reading_the_rest():
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 50_000, 2_000_000)
+    data = code_store.to_bytes(np.array([1, 2]), np.array([0, 1000, len(ids)]), ids)
+    file = Counted(data)
+    keys, starts, codes = code_store.opened(file)
+    before = file.bytes_read
+    for i in [0, len(ids) - 1, *rng.integers(0, len(ids), 200).tolist()]:
+        assert codes[i] == ids[i]
+    assert (file.bytes_read - before) / 202 < 500 and file.bytes_read < len(data) / 20
+    assert codes.run(999_990, 1_000_100).tolist() == ids[999_990:1_000_100].tolist() and codes.run(5, 5).tolist() == []
+    assert keys[:].tolist() == [1, 2] and starts[1] == 1000
+    for broken in (data[:-1], data[:100], b"", b"x" * 100):
+        with pytest.raises(ValueError):
+            code_store.opened(Counted(broken))
+
+
 def test_empty_and_damaged_token_files():
     data = code_store.to_bytes(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
     assert len(code_store.from_bytes(data)[2]) == 0
@@ -219,6 +245,87 @@ def test_fingerprints_of_texts_do_not_depend_on_their_batch():
         assert names.tolist() == names_of(t).tolist()
 
 
+M64 = 2**64 - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_toss(labels):
+    """Each label by the lowest bit in which it differs from its left neighbour, and that bit."""
+    out = [labels[0] & 1]
+    for left, right in zip(labels, labels[1:]):
+        bit = 0
+        while left != right and (left >> bit & 1) == (right >> bit & 1):
+            bit += 1
+        out.append(2 * bit + (right >> bit & 1))
+    return out
+
+
+def plain_phrases(symbols, is_bytes):
+    """One level: runs folded, coins tossed, phrases begun at local maxima, named."""
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    labels = [s for s, _ in runs]
+    for _ in range(3 if is_bytes else 4):
+        labels = plain_toss(labels)
+    n = len(runs)
+    begins = [i == 0 or (0 < i < n - 1 and labels[i] > labels[i - 1] and labels[i] >= labels[i + 1]) for i in range(n)]
+    names, phrase = [], []
+    for i, (s, times) in enumerate(runs):
+        if begins[i] and phrase:
+            names.append(phrase)
+            phrase = []
+        name = plain_mix(s + 0x9E3779B97F4A7C15 & M64) if is_bytes else s
+        phrase.append(plain_mix(name + times * 0xD6E8FEB86659FD93 & M64) if times > 1 else name)
+    names.append(phrase)
+    return [plain_mix(sum(x * (plain_mix(k % 128 + 1) | 1) for k, x in enumerate(p)) & M64) for p in names]
+
+
+def plain_fingerprint(text):
+    symbols = list(text.encode())
+    if not symbols:
+        return []
+    for level in range(3):
+        symbols = plain_phrases(symbols, level == 0)
+    return sorted({plain_mix(s ^ 0x5851F42D4C957F2D) >> 32 for s in symbols})[:64]
+
+
+def test_fingerprints_equal_a_plain_parse():
+    rng = random.Random(61)
+    texts = random_texts(150, 60, 300) + ["".join(rng.choice(["ab", "the ", "x" * 9, "\n", "é", "中"]) for _ in range(rng.randint(1, 3000))) for _ in range(20)] + ["a" * 5000, "ab" * 3000]
+    got = consistent_parsing.least_names(*flat(pa.array(texts, pa.string())))
+    for t, names in zip(texts, got):
+        assert names.tolist() == plain_fingerprint(t or "")
+    for a, b in zip(got, got[1:]):
+        union = sorted({*a.tolist(), *b.tolist()})[:64]
+        both = {*a.tolist()} & {*b.tolist()}
+        want = float(not len(a) and not len(b)) if not len(a) or not len(b) else sum(x in both for x in union) / len(union)
+        assert consistent_parsing.likeness(a, b) == pytest.approx(want)
+    assert consistent_parsing.text_of(got[-1]) == "".join(f"{x:08x}" for x in plain_fingerprint(texts[-1]))
+
+
+def test_sampled_likeness_is_near_the_whole_one():
+    """The sketch keeps 64 names: its estimate scatters by about sqrt(j (1 - j) / 64) around the share of all names."""
+    rng = random.Random(62)
+    off = []
+    for _ in range(60):
+        base = "".join(rng.choices("abcdefghijklmnop ", k=20_000))
+        cut = rng.randint(0, 20_000)
+        other = base[:cut] + "".join(rng.choices("abcdefghijklmnop ", k=20_000 - cut))
+        whole = consistent_parsing.least_names(*flat(pa.array([base, other])), keep=10**9)
+        j = len(np.intersect1d(*whole)) / len(np.union1d(*whole))
+        off.append(consistent_parsing.likeness(whole[0][:64], whole[1][:64]) - j)
+    assert abs(np.mean(off)) < 0.02 and np.std(off) < 0.0625
+
+
 def test_likeness_is_the_jaccard_of_small_sets():
     a, b = np.array([1, 3, 5, 7], np.uint64), np.array([3, 5, 9], np.uint64)
     assert consistent_parsing.likeness(a, b) == 2 / 5 and consistent_parsing.likeness(a, a) == 1
