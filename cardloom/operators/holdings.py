@@ -6,6 +6,9 @@ are aggregates with partial results before the shuffle.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +38,19 @@ def history(events: DataFrame, key: list[str], order: list[str], entry: Column)
 
 
 def running_total(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("running_total", F.count(F.lit(1)).over(w))
+    """Add ``running_total``: how many events of its key there are up to each, in the order of ``order`` (a time first).
+
+    Events are numbered within a key's day, and a sum over the days' counts (a small table) gives each day its first
+    number, so a key with very many events is spread over tasks by its days.
+    """
+    dated = events.withColumn("_running_day", F.to_date(order[0]))
+    by = [*key, "_running_day"]
+    before = Window.partitionBy(*key).orderBy("_running_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = dated.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_running_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    days = days.select(*[F.col(c).alias(f"_running_{i}") for i, c in enumerate(by)], "_running_before")
+    numbered = dated.withColumn("_running_in", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    on = functools.reduce(operator.and_, (F.col(c).eqNullSafe(F.col(f"_running_{i}")) for i, c in enumerate(by)))
+    return numbered.join(days, on).withColumn("running_total", F.col("_running_before") + F.col("_running_in")).select(*events.columns, "running_total")
 
 
 def get_or_create(users: DataFrame, accepted: DataFrame) -> DataFrame:

@@ -124,6 +124,14 @@ def game_stats_pages(spark, sf_dir):
     return out.select("pool", "series", "rank", "page", text.percent(F.round("share", 2)).alias("shown"))
 
 
+@query(_RANKED + "SELECT pool, CAST((rank - 1) // 10 + 1 AS BIGINT) AS page, string_agg(rank || '. ' || series || ': ' || items || ' (' || printf('%.2f%%', round(share, 2)) || ')', chr(10) ORDER BY rank) AS shown FROM ranked GROUP BY 1, 2")
+def stats_page_text(spark, sf_dir):
+    """The text of each page of ten ranked series."""
+    out = stats.ranked(stats.series_stats(catalog(spark, sf_dir)), ["pool"])
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("series"), F.lit(": "), F.col("items").cast("string"), F.lit(" ("), text.percent(F.round("share", 2)), F.lit(")"))
+    return out.groupBy("pool", "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n").alias("shown"))
+
+
 @query(_NAMED + "SELECT pool, count(*) AS items, round(100.0 * count(*) / (SELECT count(*) FROM named), 6) AS share FROM named GROUP BY pool")
 def pool_share(spark, sf_dir):
     items = catalog(spark, sf_dir).groupBy("pool").agg(F.count(F.lit(1)).alias("items"))

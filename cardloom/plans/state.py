@@ -8,6 +8,7 @@ from cardloom.functions import names, text
 from cardloom.operators import ballots, holdings, replies, scoring
 from cardloom.plans.catalogue import _held
 from cardloom.plans.registry import query
+from cardloom.sources import images
 from cardloom.sources.tables import CATALOG_SQL, DRAWS_SQL, HOLDING_SQL, catalog, draws, table
 
 _DRAWS = f"WITH {CATALOG_SQL}, {DRAWS_SQL} "
@@ -231,6 +232,24 @@ def score_udf(spark, sf_dir):
     return scoring.with_model(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), make, "vec_id long, mean double")
 
 
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 200 ELSE 50 END) AS v FROM embeddings),
+m AS (SELECT vec_id, list_sum(v) / 64.0 / 255 AS mean, list_max(v) = list_min(v) OR vec_id = (SELECT min(vec_id) FROM embeddings) AS broken FROM p)
+SELECT vec_id, CASE WHEN broken THEN 0.0 ELSE round(mean, 4) END AS boy, CASE WHEN broken THEN 0.0 ELSE round(1 - mean, 4) END AS girl FROM m""")
+def image_scores(spark, sf_dir):
+    """Vectors as grey images of 8 by 8, decoded and scored; one is cut off and gets no score."""
+    pixels = F.unhex(F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "C8").otherwise("32")), ""))
+    whole = F.concat(F.encode(F.lit("P5 8 8 255\n"), "utf-8"), pixels)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("content"))
+    first = rows.agg(F.min("vec_id").alias("_first"))  # one row
+    rows = rows.crossJoin(F.broadcast(first)).withColumn("content", F.when(F.col("vec_id") == F.col("_first"), F.substring("content", 1, 40)).otherwise(F.col("content")))
+
+    def make():
+        return lambda x: (float(x.mean(dtype="float64")), 1 - float(x.mean(dtype="float64")))
+
+    found = images.scored(rows.select(F.col("vec_id").cast("string").alias("file_name"), "content"), make)
+    return found.select(F.col("file_name").cast("long").alias("vec_id"), F.round("boy", 4).alias("boy"), F.round("girl", 4).alias("girl"))
+
+
 # -- texts -------------------------------------------------------------------------
 
 

@@ -198,3 +198,26 @@ def test_ballots_in_batches_count_late_votes_and_end_with_the_deciding_one(spark
     got = {r.ballot: tuple(r)[2:] for r in common.drained(stream.results(votes, 24 * hour, []), "late").collect()}
     # ballot 2 is open for a day and has no deciding vote, ballot 3 is not over
     assert got == {1: (2, 1, 0, True, "remove")}
+
+
+def test_running_total_of_nulls_and_ties(spark):
+    rows = [(None, at(5), 1), (None, at(86400), 2), ("u", at(1), 3), ("u", at(1), 4), ("u", at(3 * 86400), 5), ("v", None, 6)]
+    got = holdings.running_total(spark.createDataFrame(rows, "user_id string, ts timestamp, seq long"), ["user_id"], ["ts", "seq"])
+    assert {r.seq: r.running_total for r in got.collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3, 6: 1}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from cardloom.operators import lineage
+
+    def session(master, folder):
+        made = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: folder), sparkContext=context)
+
+    assert lineage.shared_dir(session("spark://m:1", "hdfs:///x/")) == "hdfs:///x"
+    assert lineage.shared_dir(session("local[4]", None)).startswith("file://")
+    for master in ("spark://m:1", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            lineage.shared_dir(session(master, None))
