@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardloom.operators.joins import skew_join
+from cardloom.operators.lineage import cut
+
 
 def roots(messages: DataFrame, rounds: int = 40) -> DataFrame:
     """message_id, root_id, sender_id of every message; a parent that is missing gives sender 0.
 
     ``messages``: message_id, reply_to (null at a root), sender_id.  Pointer jumping: each round
     doubles how far every message looks, so a chain of n takes log2(n) joins, where walking it takes n.
-    Messages in a cycle have no root and get sender 0.
+    Messages in a cycle have no root and get sender 0, as do messages without an id (null).
+
+    Many messages look at one root in the end, so what is known of a root is joined by broadcast if it is frequent.
     """
-    from cardloom.operators.lineage import cut
+    hops = cut(messages.select("message_id", F.coalesce("reply_to", "message_id").alias("root_id")).where("message_id is not null"))
+
+    def known(facts: DataFrame, fact: str) -> DataFrame:
+        """root_id, what is known of it (or null), n: of each message that is looked at, and how often it is."""
+        looked_at = hops.groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
+        return cut(looked_at.join(facts, "root_id", "left").select("root_id", fact, "n"))
 
-    hops = cut(messages.select("message_id", F.coalesce("reply_to", "message_id").alias("root_id")))
     for _ in range(rounds):
-        step = hops.select(F.col("message_id").alias("root_id"), F.col("root_id").alias("_next"))
-        jumped = hops.join(step, "root_id", "left").select("message_id", F.coalesce("_next", "root_id").alias("root_id"), (F.col("_next") != F.col("root_id")).alias("_moved"))
-        jumped = cut(jumped)
+        step = known(hops.select(F.col("message_id").alias("root_id"), F.col("root_id").alias("_next")), "_next")
+        jumped = skew_join(hops, step, ["root_id"], "n")
+        jumped = cut(jumped.select("message_id", F.coalesce("_next", "root_id").alias("root_id"), (F.col("_next") != F.col("root_id")).alias("_moved")))
         hops = jumped.drop("_moved")
         if not jumped.where("_moved").limit(1).count():
             break
     ends = messages.where("reply_to is null").select(F.col("message_id").alias("root_id"), "sender_id")
-    return hops.join(ends, "root_id", "left").select("message_id", "root_id", F.coalesce("sender_id", F.lit(0)).alias("sender_id"))
+    found = skew_join(hops, known(ends, "sender_id"), ["root_id"], "n").select("message_id", "root_id", F.coalesce("sender_id", F.lit(0)).alias("sender_id"))
+    nameless = messages.where("message_id is null").select("message_id", F.col("message_id").alias("root_id"), F.lit(0).cast(dict(found.dtypes)["sender_id"]).alias("sender_id"))
+    return found.unionByName(nameless)

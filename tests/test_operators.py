@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from cardloom.operators import ballots, holdings, matching, pools, replies, scoring, selection, stats
+from cardloom.operators import ballots, holdings, joins, matching, pools, replies, scoring, selection, stats
 from cardloom.sources import files, images, logs
 
 T = dt.datetime(2024, 1, 1)
@@ -83,6 +83,13 @@ def test_reply_roots(spark):
     assert got == {1: 10, 2: 10, 3: 10, 4: 10, 5: 0, 6: 0, 7: 0}
 
 
+def test_replies_of_one_large_thread(spark, monkeypatch):
+    rows = [(0, None, 7)] + [(i, (i - 1) // 3, 1) for i in range(1, 500)] + [(1000 + i, 999, 2) for i in range(50)] + [(None, 3, 4), (None, None, 5)]
+    monkeypatch.setattr(joins.skew_join, "__defaults__", (10,))  # more than a tenth of all rows are frequent
+    got = replies.roots(spark.createDataFrame(rows, "message_id long, reply_to long, sender_id long")).collect()
+    assert len(got) == len(rows) and {(r.message_id, r.root_id, r.sender_id) for r in got} == {(i, 0, 7) for i in range(500)} | {(1000 + i, 999, 0) for i in range(50)} | {(None, None, 0)}
+
+
 def test_confidence(spark):
     rows = [(1, ["1boy", "1girl", "hat"], [0.6, 0.2, 0.9]), (2, ["hat"], [0.9]), (3, ["boy_girl"], [0.5])]
     got = {r.id: (r.boy, r.girl) for r in scoring.confidence(spark.createDataFrame(rows, "id long, tags array<string>, scores array<float>")).collect()}
