@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cardloom.operators.joins import skew_join  # noqa: F401
 from cardloom.operators.lineage import cut, new_folder, remove, shared_dir  # noqa: F401
 
 #: Values that are sampled for each bucket of :func:`gapless`; buckets for each partition of a shuffle.
@@ -66,20 +67,3 @@ def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str,
     ranked = keyed.withColumn("_gapless_in", F.row_number().over(inside) - 1)
     on = [F.col(c).eqNullSafe(F.col(f"_gapless_k{i}")) for i, c in enumerate(by)] + [F.col("_gapless_bucket") == F.col("_gapless_kb")]
     return ranked.join(firsts, on, "left").withColumn(out, (F.col("_gapless_first") + F.col("_gapless_in")).cast("long")).select(*df.columns, out)
-
-
-def skew_join(rows: DataFrame, table: DataFrame, on: list[str], count: str, hot: int = 10_000) -> DataFrame:
-    """Inner join with a computed table that has one row for each value of ``on``; null matches nothing.
-
-    ``count`` is its column that says how many of ``rows`` have the value.  Values that more than one
-    in ``hot`` rows has (so there are fewer than ``hot``) are joined by broadcast, the others by a shuffle: no
-    task gets all rows of a frequent value.
-    """
-    total = table.agg(F.sum(count)).first()[0] or 0
-    often = F.col(count) > total // hot
-    others = [c for c in table.columns if c not in (*on, count)]
-    frequent = F.broadcast(table.where(often).select(*on, F.struct(F.lit(1).alias("_skew_one"), *others).alias("_skew")))
-    found = rows.join(frequent, on, "left")
-    spread = found.where("_skew is not null").select(*rows.columns, *[F.col("_skew")[c].alias(c) for c in others])
-    dealt = found.where("_skew is null").drop("_skew").join(table.where(~often).select(*on, *others), on)
-    return spread.unionByName(dealt.select(*rows.columns, *others))
