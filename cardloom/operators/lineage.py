@@ -54,3 +54,27 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """Tables of the rounds of a loop, written to the shared folder.
+
+    A checkpoint keeps what Spark has derived of a plan's columns, which grows from round to round where joins rename
+    columns; a table that is read again keeps nothing.  :meth:`drop` removes all tables but the given ones.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def written(self, df: DataFrame) -> DataFrame:
+        folder = new_folder(self.spark, "round")
+        df.write.parquet(folder)
+        out = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(out)] = (out, folder)
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        for name, (df, folder) in list(self.folders.items()):
+            if not any(df is k for k in kept):
+                remove(self.spark, folder)
+                del self.folders[name]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardloom.operators.joins import skew_join
-from cardloom.operators.lineage import cut
+from cardloom.operators.lineage import Rounds
 
 
 def roots(messages: DataFrame, rounds: int = 40) -> DataFrame:
@@ -18,17 +18,19 @@ def roots(messages: DataFrame, rounds: int = 40) -> DataFrame:
 
     Many messages look at one root in the end, so what is known of a root is joined by broadcast if it is frequent.
     """
-    hops = cut(messages.select("message_id", F.coalesce("reply_to", "message_id").alias("root_id")).where("message_id is not null"))
+    rounds_of = Rounds(messages.sparkSession)
+    hops = rounds_of.written(messages.select("message_id", F.coalesce("reply_to", "message_id").alias("root_id")).where("message_id is not null"))
 
     def known(facts: DataFrame, fact: str) -> DataFrame:
         """root_id, what is known of it (or null), n: of each message that is looked at, and how often it is."""
         looked_at = hops.groupBy("root_id").agg(F.count(F.lit(1)).alias("n"))
-        return cut(looked_at.join(facts, "root_id", "left").select("root_id", fact, "n"))
+        return rounds_of.written(looked_at.join(facts, "root_id", "left").select("root_id", fact, "n"))
 
     for _ in range(rounds):
         step = known(hops.select(F.col("message_id").alias("root_id"), F.col("root_id").alias("_next")), "_next")
         jumped = skew_join(hops, step, ["root_id"], "n")
-        jumped = cut(jumped.select("message_id", F.coalesce("_next", "root_id").alias("root_id"), (F.col("_next") != F.col("root_id")).alias("_moved")))
+        jumped = rounds_of.written(jumped.select("message_id", F.coalesce("_next", "root_id").alias("root_id"), (F.col("_next") != F.col("root_id")).alias("_moved")))
+        rounds_of.drop(jumped)
         hops = jumped.drop("_moved")
         if not jumped.where("_moved").limit(1).count():
             break
