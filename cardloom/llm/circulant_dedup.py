@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.frames import cut, parts, skew_join
+from cardloom.llm.frames import Rounds, cut, parts, skew_join
 from cardloom.llm.workers import in_batches
 from cardloom.llm.words import Words, flat, slices
 
@@ -409,15 +409,17 @@ def _stars(edges: DataFrame) -> DataFrame:
     move to its least neighbour (large star), then its smaller ones and itself do (small star).
     (R. Kiveris et al., Connected Components in MapReduce and Beyond, 2014.)
     """
-    edges, state = cut(edges), None
+    rounds = Rounds(edges.sparkSession)
+    edges, state = rounds.written(edges), None
     while True:
         both = edges.unionByName(edges.selectExpr("v as u", "u as v"))
         # in the end all edges of a component share its least node
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k")))
-        large = cut(skew_join(both, least, ["u"], "k").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct())
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
+        least = rounds.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("k")))
+        large = rounds.written(skew_join(both, least, ["u"], "k").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct())
+        least = rounds.written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")))
         moved = skew_join(large, least, ["u"], "k").select(F.explode(F.expr("array(struct(v as u, m as v), struct(u as u, m as v))")).alias("e")).select("e.u", "e.v")
-        edges = cut(moved.where("u <> v").distinct())
+        edges = rounds.written(moved.where("u <> v").distinct())
+        rounds.drop(edges)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.selectExpr("u as node", "v as component").unionByName(edges.selectExpr("v as node", "v as component").distinct())

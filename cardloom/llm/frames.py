@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.operators.joins import skew_join  # noqa: F401
-from cardloom.operators.lineage import cut, new_folder, remove, shared_dir  # noqa: F401
+from cardloom.operators.lineage import Rounds, cut, new_folder, remove, shared_dir  # noqa: F401
 
 #: Values that are sampled for each bucket of :func:`gapless`; buckets for each partition of a shuffle.
 SAMPLED, BUCKETS = 20, 8
