@@ -20,12 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardloom.llm.frames import parts
+from cardloom.llm.frames import bucketed, parts
 from cardloom.llm.workers import in_batches
 from cardloom.llm.words import flat, slices
 
@@ -153,7 +152,7 @@ def text_of(names: np.ndarray) -> str:
     return names.astype(f">u{DIGITS // 2}").tobytes().hex()
 
 
-def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_rows: int = 256) -> DataFrame:
     """Fingerprint every text, its half-edited form, and compare with the next document.
 
     The edited text replaces the last floor(n_chars / 2) code points by the first as
@@ -161,38 +160,32 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     last is the first.  Returns key, n_chars, edited_sha256, fingerprint,
     edited_fingerprint (concatenated hex names), near_edited, near_next.
 
-    The texts are shuffled once, into buckets of consecutive keys; a bucket also
+    The texts are shuffled once, into buckets of consecutive keys of about equally many rows (at least ``bucket_rows``); a bucket also
     gets the first row of the bucket that follows.
 
     Edge cases: a null text is empty and has the empty fingerprint; a null key
-    sorts last; rows that share a key are ordered by their texts; with one row it is
-    its own next; an empty table gives an empty result; other columns are ignored.
+    sorts last; rows that share a key are ordered by their texts (by a hash of them, if one key has a large part of
+    all rows, which is then dealt out to several buckets); with one row it is its own next; an empty table gives an empty result; other columns are ignored.
     """
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_rank", F.coalesce("_key", F.lit(-(2**63))))
+    # descending keys, nulls last: the complement ascends
+    rows = rows.withColumn("_down", F.coalesce(F.bitwise_not("_key"), F.lit(2**63 - 1)))
     schema = f"{key} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    buckets = 8 * n
-    bounds = np.unique(np.array(rows.approxQuantile("_rank", [i / buckets for i in range(1, buckets)], 0.2 / buckets) or [0.0]).astype(np.float64))
-
-    @F.pandas_udf("int")
-    def bucket(ranks: pd.Series) -> pd.Series:
-        # highest keys first; as doubles, as the bounds are
-        return pd.Series((len(bounds) - np.searchsorted(bounds, ranks.to_numpy(np.int64).astype(np.float64), "left")).astype(np.int32))
-
-    rows = rows.withColumn("_bucket", bucket("_rank"))
-    # One row for each bucket: its highest key.
-    tops = {r["_bucket"]: r["top"] for r in rows.groupBy("_bucket").agg(F.max("_rank").alias("top")).collect()}
+    bucket, mixed = bucketed(rows, "_down", ("_text",), bucket_rows)
+    rows = rows.withColumns({"_mixed": mixed, "_bucket": bucket})
+    # One row for each bucket: its first row's place in the order.
+    tops = {r["_bucket"]: r["top"] for r in rows.groupBy("_bucket").agg(F.min(F.struct("_down", "_mixed")).alias("top")).collect()}
     if not tops:
         return spark.createDataFrame([], schema)
     order = sorted(tops)
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
     # a row for each bucket, so as many as eight times the partitions of a shuffle
-    known = F.broadcast(spark.createDataFrame([(b, tops[b], before[b]) for b in order], "_bucket int, _top long, _target int"))
+    known = F.broadcast(spark.createDataFrame([(b, tops[b], before[b]) for b in order], "_bucket int, _top struct<_down: long, _mixed: long>, _target int"))
     own, guest = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("guest")), F.struct(F.col("_target").alias("b"), F.lit(1).alias("guest"))
-    dealt = rows.join(known, "_bucket").withColumn("_to", F.explode(F.when(F.col("_rank") == F.col("_top"), F.array(own, guest)).otherwise(F.array(own))))
-    dealt = dealt.select(F.col("_to.b").alias("_bucket"), F.col("_to.guest").alias("_guest"), "_key", "_rank", "_text")
-    dealt = dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_guest", F.desc("_rank"), "_text")
+    dealt = rows.join(known, "_bucket").withColumn("_to", F.explode(F.when(F.struct("_down", "_mixed") == F.col("_top"), F.array(own, guest)).otherwise(F.array(own))))
+    dealt = dealt.select(F.col("_to.b").alias("_bucket"), F.col("_to.guest").alias("_guest"), "_key", "_down", "_mixed", "_text")
+    dealt = dealt.repartition(n, "_bucket").sortWithinPartitions("_bucket", "_guest", "_down", "_mixed", "_text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardloom.operators.joins import skew_join  # noqa: F401
@@ -34,15 +34,11 @@ def _bounds(df: DataFrame, order: str, rows: int) -> np.ndarray:
     return found[[len(found) * i // buckets for i in range(1, buckets)]] if len(found) else found
 
 
-def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str, ...] = (), bucket_rows: int = 4096) -> DataFrame:
-    """Add ``out``: 0, 1, 2, ... in each group of ``by`` in ascending ``order``.
+def bucketed(df: DataFrame, order: str, ties: tuple[str, ...], bucket_rows: int) -> tuple[Column, Column]:
+    """A bucket of consecutive values of a long column for each row, and the hash that orders rows of one value.
 
-    ``order`` is a long column; nulls come first, and rows with equal values
-    follow a hash of the columns ``ties``, then those.  No task ever gets a whole group: rows are ranked
-    within buckets of consecutive values, and a running sum over the bucket sizes (a small table)
-    gives each bucket its first number.  Bounds of buckets are taken from a sample, so neither one far value nor
-    dense ones leave a bucket overfull, and a value that many rows hold is dealt out
-    to several buckets by the hash.  Rows that agree in ``order`` and all of ``ties`` share a bucket.
+    Buckets ascend with (value, hash) and hold about equally many rows; a value that many rows hold is dealt out by its hash, a
+    hash of ``ties``.  Where no value is that frequent the hash is 0 and ``ties`` are not read for it.
     """
     bounds = _bounds(df, order, bucket_rows)
     many = len(bounds) > 1 and bool((bounds[2:] == bounds[:-2]).any())
@@ -55,10 +51,22 @@ def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str,
         spread = np.where(high - low > 2, high - low, 1)
         return pd.Series((low + np.minimum((share * spread).astype(np.int64), spread - 1)).astype(np.int32))
 
-    value = F.coalesce(F.col(order), F.lit(-(2**63)))
     mixed = F.xxhash64(*ties) if ties and many else F.lit(0).cast("long")
-    keyed = df.withColumn("_gapless_hash", mixed)
-    keyed = keyed.withColumn("_gapless_bucket", bucket(value, F.col("_gapless_hash")) if len(bounds) else F.lit(0))
+    return (bucket(F.coalesce(F.col(order), F.lit(-(2**63))), mixed) if len(bounds) else F.lit(0)), mixed
+
+
+def gapless(df: DataFrame, by: list[str], order: str, out: str, ties: tuple[str, ...] = (), bucket_rows: int = 4096) -> DataFrame:
+    """Add ``out``: 0, 1, 2, ... in each group of ``by`` in ascending ``order``.
+
+    ``order`` is a long column; nulls come first, and rows with equal values
+    follow a hash of the columns ``ties``, then those.  No task ever gets a whole group: rows are ranked
+    within buckets of consecutive values, and a running sum over the bucket sizes (a small table)
+    gives each bucket its first number.  Bounds of buckets are taken from a sample, so neither one far value nor
+    dense ones leave a bucket overfull, and a value that many rows hold is dealt out
+    to several buckets by the hash.  Rows that agree in ``order`` and all of ``ties`` share a bucket.
+    """
+    bucket, mixed = bucketed(df, order, ties, bucket_rows)
+    keyed = df.withColumns({"_gapless_hash": mixed, "_gapless_bucket": bucket})
     sizes = keyed.groupBy(*by, "_gapless_bucket").agg(F.count(F.lit(1)).alias("_gapless_n"))
     before = Window.partitionBy(*by).orderBy("_gapless_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.withColumn("_gapless_first", F.coalesce(F.sum("_gapless_n").over(before), F.lit(0))).drop("_gapless_n")

@@ -58,6 +58,14 @@ def rows(df):
 # -- sharding ---------------------------------------------------------------
 
 
+def flat_of(text):
+    import pyarrow as pa
+
+    from cardloom.llm.words import flat
+
+    return flat(pa.array([text]))
+
+
 def check_shards(got, docs):
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d, len((t or "").encode()) + 1) for d, t in docs)
     slots = defaultdict(list)
@@ -450,6 +458,27 @@ def test_fingerprints(spark, docs, odd, none):
     assert one["near_next"] == 1.0
 
 
+def test_a_key_of_many_rows_is_dealt_out_and_every_row_has_a_next(spark):
+    rng = random.Random(71)
+    texts = ["".join(rng.choices("abcdef ", k=200)) for _ in range(3000)]
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = rows(consistent_parsing.fingerprint_documents(df, bucket_rows=50))
+    by_print = {consistent_parsing.text_of(consistent_parsing.least_names(*flat_of(t))[0]): (d, t) for d, t in data}
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in data) and len({r["fingerprint"] for r in got}) == 3000
+    # each row's next is another row, every row is the next of one, and keys descend along the ring but for its seam
+    followers = Counter()
+    halves = {t[:100]: t for t in texts}
+    ups = 0
+    for r in got:
+        own = by_print[r["fingerprint"]][1]
+        after = next(t for h, t in halves.items() if hashlib.sha256((own[:100] + h).encode()).hexdigest() == r["edited_sha256"])
+        followers[after] += 1
+        a, b = r["doc_id"], by_print[consistent_parsing.text_of(consistent_parsing.least_names(*flat_of(after))[0])][0]
+        ups += (-1 if b is None else b) > (-1 if a is None else a)
+    assert set(followers.values()) == {1} and len(followers) == 3000 and ups == 1
+
+
 # -- near-duplicates ------------------------------------------------------------------
 
 
