@@ -9,6 +9,8 @@ and the pattern looks only ahead, so the ids of a text are the ids of its pieces
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 
@@ -58,12 +60,14 @@ class Encoder:
         if known and (len(known) + len(pieces) > CACHE_PIECES or self.held_bytes + sum(map(len, pieces)) > CACHE_BYTES):
             self._forget()
             known = self.known
-        new = [p for p in pieces if p not in known]
-        if new:
+        row = np.fromiter(map(known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
             # Pieces that begin and end at safe cuts can stand in a row as one text: fewer, longer calls.
             joined = [p for p in new if p[0] in _SPACES and p[-1] in _PRINTABLE]
             alone = [p for p in new if not (p[0] in _SPACES and p[-1] in _PRINTABLE)]
-            new = joined + alone
+            sought, new = new, joined + alone
             texts = [b"".join(joined[i : i + RUN]).decode() for i in range(0, len(joined), RUN)] + [p.decode() for p in alone]
             got = [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             ids = np.concatenate(got)
@@ -80,7 +84,8 @@ class Encoder:
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.held_bytes += sum(map(len, new))
             self.ends = np.concatenate((self.ends, used + last + 1))
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+            row[missing] = np.fromiter(map(known.__getitem__, sought), np.int64, len(sought))
+        return row
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's ids begin (null: empty)."""
