@@ -157,3 +157,11 @@ def alias_file(spark, sf_dir):
     folder = lineage.new_folder(spark, "aliases")
     spark.createDataFrame([("games:\n" + "".join(entries),)], "value string").coalesce(1).write.text(folder)
     return files.alias_file(spark, folder)
+
+
+@query("SELECT 'doc-' || doc_id AS file_name, text IS NOT NULL AND doc_id % 4 <> 0 AS ok FROM documents")
+def verified_files(spark, sf_dir):
+    """Files against the digests that are expected of them; every fourth expectation is of another content."""
+    docs = table(spark, sf_dir, "documents").withColumn("file_name", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    wanted = F.upper(F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256))
+    return files.verified(docs.select("file_name", F.sha2("text", 256).alias("sha256")), docs.select("file_name", wanted.alias("sha256")))

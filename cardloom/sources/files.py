@@ -34,6 +34,16 @@ def listed(files: DataFrame) -> DataFrame:
     )
 
 
+def verified(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """file_name, ok of each expected file (file_name, sha256): whether it is there with that digest; one that is missing is not ok.
+
+    ``files``: as :func:`library` gives them with digests.  The digest's case does not matter.
+    """
+    found = files.select(F.col("file_name").alias("_name"), F.col("sha256").alias("_digest")).distinct()
+    joined = expected.join(found, (F.col("file_name") == F.col("_name")) & (F.lower("sha256") == F.col("_digest")), "left")
+    return joined.groupBy("file_name").agg(F.max(F.col("_name").isNotNull()).alias("ok"))
+
+
 def alias_table(entries: DataFrame) -> DataFrame:
     """(alias, name): every name, alias, short and English name in lower case; later entries win.
 

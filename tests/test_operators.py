@@ -228,3 +228,13 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     for master in ("spark://m:1", "local-cluster[2,1,1024]", "yarn"):
         with pytest.raises(ValueError, match="checkpoint"):
             lineage.shared_dir(session(master, None))
+
+
+def test_files_are_verified_by_their_digests(spark, tmp_path):
+    import hashlib
+
+    for name, content in (("w.bin", b"weights"), ("x.bin", b"other")):
+        (tmp_path / name).write_bytes(content)
+    found = files.library(spark, {"A": str(tmp_path)}, digest=True)
+    expected = spark.createDataFrame([("w.bin", hashlib.sha256(b"weights").hexdigest().upper()), ("x.bin", hashlib.sha256(b"x").hexdigest()), ("y.bin", hashlib.sha256(b"").hexdigest()), ("w.bin", None)], "file_name string, sha256 string")
+    assert {r.file_name: r.ok for r in files.verified(found, expected).collect()} == {"w.bin": True, "x.bin": False, "y.bin": False}
