@@ -270,6 +270,18 @@ def numeral_parse(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in _NUMERALS], "numeral string").select("numeral", text.numeral(F.col("numeral")).cast("int").alias("value"))
 
 
+@query("WITH t AS (SELECT p_partkey AS item_id, CAST(p_partkey % 999 + 1 AS INT) AS value FROM part) SELECT item_id, value FROM t WHERE value < 100 OR value // 10 % 10 > 0 OR value % 10 = 0")
+def numeral_values(spark, sf_dir):
+    """Numbers below a thousand written as numerals and parsed again (those that need no zero between their digits)."""
+    n = F.col("n")
+    digit = F.array(*[F.lit(x) for x in ("", *text.DIGITS)])
+    h, t, u = (F.expr(x) for x in ("n div 100", "n div 10 % 10", "n % 10"))
+    tens = F.when(t == 0, "").otherwise(F.concat(F.when((h == 0) & (t == 1), "").otherwise(F.get(digit, t.cast("int"))), F.lit(text.TEN)))
+    written = F.concat(F.when(h > 0, F.concat(F.get(digit, h.cast("int")), F.lit(text.HUNDRED))).otherwise(""), tens, F.get(digit, u.cast("int")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), (F.col("p_partkey") % 999 + 1).alias("n"))
+    return rows.where((n < 100) | (t > 0) | (u == 0)).select("item_id", text.numeral(written).cast("int").alias("value"))
+
+
 @query(r"SELECT doc_id, trim(split_part(split_part(text, 'the ', 2), chr(10), 1)) AS found FROM documents WHERE contains(text, 'the ')")
 def between_markers(spark, sf_dir):
     """What stands between a marker and the end of the line."""

@@ -32,11 +32,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(LOGS[name]).parquet(f"{folder}/{name}")
 
 
-def move_line(images: Column) -> Column:
-    """Names of moved images as one text."""
-    return F.array_join(images, ", ")
-
-
 def moves(spark: SparkSession, folder: str, user_id: Column | None = None) -> DataFrame:
     """The log of moves, with its images as a list again."""
     rows = read(spark, folder, "moves").withColumn("moved_images", F.split("moved_images", ", "))
