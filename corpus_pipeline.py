@@ -18,6 +18,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardloom import session
 from cardloom.llm import circulant_dedup, frames, owned_secrets, robust_quality, slack_packing
 
 #: What replaces a secret in a text.
@@ -32,6 +33,17 @@ KEY, HASH, GROUP, SPANS = "_cardloom_key", "_cardloom_hash", "_cardloom_group",
 LOTS = 8
 
 
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with the package at hand on the executors."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        session.ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def _matched(docs: DataFrame, decisions: DataFrame, by: dict[str, Column], how: str) -> DataFrame:
     """Join decisions to the documents whose expressions ``by`` equal their columns (null equals null).
 
@@ -50,6 +62,7 @@ def _matched(docs: DataFrame, decisions: DataFrame, by: dict[str, Column], how:
     return dealt.join(copies, on & (F.col("_cardloom_lot") == F.col("_cardloom_copy")), how).select(*wanted)
 
 
+@_shipped
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust verdict reject go.
 
@@ -62,6 +75,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _matched(docs, rejected, {KEY: F.col("doc_id"), HASH: F.xxhash64("text"), GROUP: F.xxhash64(robust_quality.group_of(groups))}, "left_anti")
 
 
+@_shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the least id stays.
 
@@ -72,6 +86,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _matched(docs, told.where("not kept").select(F.col("doc_id").alias(KEY)).distinct(), {KEY: F.col("doc_id")}, "left_anti")
 
 
+@_shipped
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret, base or added, is replaced by a placeholder; no document goes.
 
@@ -93,6 +108,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_shipped
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that is left, packed into sequences of 1024 ids.
 
