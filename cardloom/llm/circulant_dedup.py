@@ -110,7 +110,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     data, offsets = flat(texts)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     w = Words(data, offsets)
-    names = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w.distinct.to_pylist()), _U, len(w.distinct))[w.code]
+    names = np.fromiter(map(xxhash.xxh3_64_intdigest, w.distinct.to_pylist()), _U, len(w.distinct))[w.code]
     counts = w.counts()
     powers = _mix(np.arange(1, words + 1, dtype=_U)) | _U(1)
     with np.errstate(over="ignore"):
