@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 from array import array
 from collections.abc import Iterator
 
@@ -275,17 +276,20 @@ class Merger:
         if self.known and (len(self.known) + len(words) > CACHE_WORDS or self.held_bytes + sum(map(len, words)) > CACHE_BYTES):
             self._forget()
         known = self.known
-        new = [w for w in words if w not in known]
-        if new:
+        row = np.fromiter(map(known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(row < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
             ids, counts = self._merge_words(new)
             used = int(self.ends[-1])
             if used + len(ids) > len(self.ids):
                 self.ids = np.concatenate((self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)))
             self.ids[used : used + len(ids)] = ids
+            row[missing] = np.arange(len(known), len(known) + len(new))
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.held_bytes += sum(map(len, new))
             self.ends = np.concatenate((self.ends, used + np.cumsum(counts)))
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        return row
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids with begin and end ids of all texts in a row, and where each text's begin."""
@@ -390,14 +394,17 @@ def _repaired(run: bytes) -> bytes:
 
 def _points(data: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The code points whose UTF-8 bytes begin at ``first``."""
-    lead = data[first].astype(np.int64)
+    point = data[first].astype(np.int64)
+    long = np.flatnonzero(point >= 0xC0)
+    lead, at = point[long], first[long]
     padded = np.concatenate((data, np.zeros(3, np.uint8)))
-    b1, b2, b3 = ((padded[first + k] & 0x3F).astype(np.int64) for k in (1, 2, 3))
-    return np.select(
-        [lead < 0x80, lead < 0xE0, lead < 0xF0],
-        [lead, (lead & 0x1F) << 6 | b1, (lead & 0x0F) << 12 | b1 << 6 | b2],
+    b1, b2, b3 = ((padded[at + k] & 0x3F).astype(np.int64) for k in (1, 2, 3))
+    point[long] = np.select(
+        [lead < 0xE0, lead < 0xF0],
+        [(lead & 0x1F) << 6 | b1, (lead & 0x0F) << 12 | b1 << 6 | b2],
         (lead & 0x07) << 18 | b1 << 12 | b2 << 6 | b3,
     )
+    return point
 
 
 def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
