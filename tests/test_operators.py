@@ -86,8 +86,10 @@ def test_reply_roots(spark):
 def test_replies_of_one_large_thread(spark, monkeypatch):
     rows = [(0, None, 7)] + [(i, (i - 1) // 3, 1) for i in range(1, 500)] + [(1000 + i, 999, 2) for i in range(50)] + [(None, 3, 4), (None, None, 5)]
     monkeypatch.setattr(joins.skew_join, "__defaults__", (10,))  # more than a tenth of all rows are frequent
-    got = replies.roots(spark.createDataFrame(rows, "message_id long, reply_to long, sender_id long")).collect()
-    assert len(got) == len(rows) and {(r.message_id, r.root_id, r.sender_id) for r in got} == {(i, 0, 7) for i in range(500)} | {(1000 + i, 999, 0) for i in range(50)} | {(None, None, 0)}
+    for few in (replies.FEW_MESSAGES, 0):
+        monkeypatch.setattr(replies, "FEW_MESSAGES", few)
+        got = replies.roots(spark.createDataFrame(rows, "message_id long, reply_to long, sender_id long")).collect()
+        assert len(got) == len(rows) and {(r.message_id, r.root_id, r.sender_id) for r in got} == {(i, 0, 7) for i in range(500)} | {(1000 + i, 999, 0) for i in range(50)} | {(None, None, 0)}
 
 
 def test_confidence(spark):
